@@ -103,10 +103,10 @@ class Ledger:
         return self.spark.table(self.table)
 
 
-def booked(spark: SparkSession, rows: DataFrame, batch: str = "batch_id", slices: int = 3) -> tuple[DataFrame, Ledger]:
+def booked(spark: SparkSession, rows: DataFrame, batch: str = "batch_id", slices: int = 3, extra: tuple = ()) -> tuple[DataFrame, Ledger]:
     """Book ``rows`` in slices of arriving batches. Returns their keys and the ledger."""
     labels = learn_labels(rows)
-    keys = cut(content_keys(rows, labels, (batch,)), "content-keys")
+    keys = cut(content_keys(rows, labels, (batch, *extra)), "content-keys")
     low, high = keys.agg(F.min(batch), F.max(batch)).first()
     ledger = Ledger(spark, labels, int(spark.conf.get("spark.sql.shuffle.partitions")))
     low, high = (0, 0) if low is None else (low, high)
