@@ -36,27 +36,36 @@ def learn_labels(rows: DataFrame, share: float = LABEL_SHARE) -> list[str]:
 
 
 def content(c: Column, labels: list[str]) -> Column:
-    """Letters and digits of a text; the fields of a text with labelled fields are sorted."""
+    """Letters and digits of a text; the fields of a text with labelled fields are sorted.
+
+    A text with three or more of the labels is searched for field starts; for all
+    others one replacement is enough.
+    """
     plain = letters(c)
     if not labels:
         return plain
+    low = F.lower(c)
     either = "|".join(re.escape(x) for x in sorted(labels, key=len, reverse=True))
-    start = rf"(?i){_START}(?=(?:{either})\b)|(?i)\s[\s\-*•>]*(?=(?:{either})\s*:)"
-    parts = F.split(F.regexp_replace(c, start, "\u0001"), "\u0001")
+    heads = "".join(sorted({x[0] for x in labels}))
+    start = rf"{_START}(?=[{heads}])(?=(?:{either})\b)|\s[\s\-*•>]*(?=[{heads}])(?=(?:{either})\s*:)"
+    parts = F.split(F.regexp_replace(low, start, "\u0001"), "\u0001")
     fields = F.array_sort(F.filter(F.transform(parts, letters), lambda x: x != ""))
-    return F.when(c.rlike(rf"(?i)(?:{either})\b") & (F.size(parts) > LEAST_FIELDS), F.array_join(fields, "\u0001")).otherwise(plain)
+    present = sum(F.contains(low, F.lit(x)).cast("int") for x in labels)
+    return F.when((present >= LEAST_FIELDS) & (F.size(parts) > LEAST_FIELDS), F.array_join(fields, "\u0001")).otherwise(plain)
 
 
 def content_keys(rows: DataFrame, labels: list[str], extra: tuple = ()) -> DataFrame:
-    """``(row_id, *extra, key_hi, key_lo)`` of the rows that have text.
+    """``(row_id, *extra, key_hi, key_lo)`` of every row; null keys for rows without text.
 
     Null, empty and removed texts, and texts without a letter or digit, have no
-    content. A null title counts as an empty one.
+    content. A null title counts as an empty one. Rows without content are left
+    for the caller to filter once the keys are written: a filter here would be pushed below
+    and make every content twice.
     """
     title, text = F.coalesce(content(F.col("title"), labels), F.lit("")), content(F.col("text"), labels)
     pair = rows.select("row_id", *extra, title.alias("_a"), text.alias("_b"))
-    pair = pair.filter((F.col("_b") != "") & ~F.col("_b").isin(*REMOVAL_MARKS))
-    keys = key128(F.least("_a", "_b"), F.greatest("_a", "_b"))
+    there = (F.col("_b") != "") & ~F.col("_b").isin(*REMOVAL_MARKS)
+    keys = [F.when(there, k) for k in key128(F.least("_a", "_b"), F.greatest("_a", "_b"))]
     return pair.select("row_id", *extra, keys[0].alias("key_hi"), keys[1].alias("key_lo"))
 
 
@@ -106,7 +115,7 @@ class Ledger:
 def booked(spark: SparkSession, rows: DataFrame, batch: str = "batch_id", slices: int = 3, extra: tuple = ()) -> tuple[DataFrame, Ledger]:
     """Book ``rows`` in slices of arriving batches. Returns their keys and the ledger."""
     labels = learn_labels(rows)
-    keys = cut(content_keys(rows, labels, (batch, *extra)), "content-keys")
+    keys = cut(content_keys(rows, labels, (batch, *extra)), "content-keys").filter("key_hi is not null")
     low, high = keys.agg(F.min(batch), F.max(batch)).first()
     ledger = Ledger(spark, labels, int(spark.conf.get("spark.sql.shuffle.partitions")))
     low, high = (0, 0) if low is None else (low, high)
