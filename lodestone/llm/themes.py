@@ -23,7 +23,7 @@ HASHED, TERMS, VECTORS = 65_536, 2_048, 44
 LEAST_CLUSTERS, MOST_CLUSTERS = 10, 40
 #: A term in more than this share of the records says little about their subject.
 COMMON = 0.09
-STEPS, LLOYD, SEEDS = 7, 4, 20_000
+STEPS, LLOYD, SEEDS = 7, 4, 8_000
 _WORD = re.compile(r"[^\W\d_]{3,}")
 
 
@@ -178,7 +178,9 @@ class Themes:
 
         self.embedded = cut(self.terms.mapInArrow(embed, "row_id bigint, e array<float>"), "embedding")
         # Starting points come from a bounded sample; the centers are then moved by all records.
-        sample = self.embedded.orderBy(F.xxhash64(F.lit(seed), "row_id")).limit(SEEDS).toPandas()
+        share = min(1.0, SEEDS / max(1, self.n))
+        drawn = F.pmod(F.xxhash64(F.lit(seed), "row_id"), F.lit(1_000_000)) < int(1_000_000 * share)
+        sample = self.embedded.filter(drawn).limit(2 * SEEDS).toPandas()
         points = np.stack(sample["e"].to_numpy()) if len(sample) else np.zeros((0, self.k))
         centers = _best_start(points, self.k, seed)
         width = self.k
