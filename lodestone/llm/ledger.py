@@ -17,7 +17,7 @@ from ..functions.normal import REMOVAL_MARKS, letters
 from ..runtime import cut, delete_path, key128, shared_dir, skew_join, table
 
 #: A field starts the text or follows one of these separators.
-_START = r"(?:^|[\n;|/])[\s\-*•>]*"
+_START = r"(?:^|[\n;|/])[\s\p{Z}\p{Cf}\-*•>]*"
 LABEL_SHARE, MOST_LABELS, LEAST_FIELDS = 0.005, 200, 3
 
 
@@ -45,12 +45,13 @@ def content(c: Column, labels: list[str]) -> Column:
     if not labels:
         return plain
     low = F.lower(c)
-    either = "|".join(re.escape(x) for x in sorted(labels, key=len, reverse=True))
+    blank = r"[\s\p{Z}\p{Cf}]"
+    either = "|".join(rf"{blank}+".join(map(re.escape, x.split())) for x in sorted(labels, key=len, reverse=True))
     heads = "".join(sorted({x[0] for x in labels}))
-    start = rf"{_START}(?=[{heads}])(?=(?:{either})\b)|\s[\s\-*•>]*(?=[{heads}])(?=(?:{either})\s*:)"
+    start = rf"{_START}(?=[{heads}])(?=(?:{either})\b)|{blank}[\s\p{{Z}}\p{{Cf}}\-*•>]*(?=[{heads}])(?=(?:{either}){blank}*:)"
     parts = F.split(F.regexp_replace(low, start, "\u0001"), "\u0001")
     fields = F.array_sort(F.filter(F.transform(parts, letters), lambda x: x != ""))
-    present = sum(F.contains(low, F.lit(x)).cast("int") for x in labels)
+    present = sum(F.contains(low, F.lit(x)).cast("int") for x in sorted({x.split()[0] for x in labels}))
     return F.when((present >= LEAST_FIELDS) & (F.size(parts) > LEAST_FIELDS), F.array_join(fields, "\u0001")).otherwise(plain)
 
 
