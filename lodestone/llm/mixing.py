@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 from ..runtime import cut, table
 from .encoding import TOKENIZERS, VOCABULARY, count_column
 
-SLICES = 4096
-
 
 def queued(sized: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """Mix ``(doc_id, source, n_tokens)`` to the shares of ``(source, target_share, repeat_cap)``.
@@ -56,8 +54,8 @@ def queued(sized: DataFrame, targets: DataFrame, budget: int | None = None, seed
     upto = W.partitionBy("source").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
     offsets = slices.withColumn("before", F.coalesce(F.sum("tokens").over(upto), F.lit(0))).select("source", "slice", "before")
     inside = W.partitionBy("source", "slice").orderBy("place", "doc_id").rowsBetween(W.unboundedPreceding, 0)
-    # At most 4096 slices for each listed source, whatever the number of documents.
-    ranked = rows.withColumn("run", F.sum("n_tokens").over(inside)).join(F.broadcast(offsets), ["source", "slice"]).join(F.broadcast(shares), "source")
+    # The offsets meet the rows where the window has put them; one row per listed source is broadcast.
+    ranked = rows.withColumn("run", F.sum("n_tokens").over(inside)).join(offsets, ["source", "slice"]).join(F.broadcast(shares), "source")
     done = (F.col("before") + F.col("run")).cast("bigint")
     allowed = F.floor(F.lit(budget) * F.col("weight") + 1e-6).cast("bigint")
     last_use = F.least(F.col("repeat_cap").cast("bigint") - 1, F.call_function("div", allowed - done, F.col("source_tokens")))
