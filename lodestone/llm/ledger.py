@@ -48,7 +48,7 @@ def content(c: Column, labels: list[str]) -> Column:
     blank = r"[\s\p{Z}\p{Cf}]"
     either = "|".join(rf"{blank}+".join(map(re.escape, x.split())) for x in sorted(labels, key=len, reverse=True))
     heads = "".join(sorted({x[0] for x in labels}))
-    start = rf"{_START}(?=[{heads}])(?=(?:{either})\b)|{blank}[\s\p{{Z}}\p{{Cf}}\-*•>]*(?=[{heads}])(?=(?:{either}){blank}*:)"
+    start = rf"{_START}(?=[{heads}])(?=(?:{either})\b)"
     parts = F.split(F.regexp_replace(low, start, "\u0001"), "\u0001")
     fields = F.array_sort(F.filter(F.transform(parts, letters), lambda x: x != ""))
     present = sum(F.contains(low, F.lit(x)).cast("int") for x in sorted({x.split()[0] for x in labels}))
