@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("delivery", "evidence")
+MODULES = ("delivery", "evidence", "series", "comparison", "streams")
 
 
 def _merged(attribute: str) -> dict:

@@ -266,6 +266,7 @@ people as (select query, count(distinct case when marker in ('money_loss', 'time
 s1 as (select *, case when k >= 2 and b >= 1 then 4 when k >= 1 then 3 else 2 end as l from sums join people using (query)),
 s2 as (select *, case when l = 4 and r >= 2 and b >= 2 then 5 else l end as l2 from s1),
 intensity as (select query, markers, k, b, r, case when (people <= 1 or not beyond) and l2 > 2 then 2 else l2 end as score from s2)"""
+INTENSITY_CTE = QUOTES
 _U = "case when regexp_matches(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://') then url else 'https://' || url end"
 _WS = "trim(regexp_replace({c}, '[ \\t\\n\\r\\f]+', ' ', 'g'))"
 _ARR = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
