@@ -16,6 +16,8 @@ from ..runtime import scratch_path, worker_cache
 
 CHUNK = 65536
 FOLDERS = 64
+#: A worker keeps the bitmaps of so many files.
+HELD = 64
 FILE, POS = "_ls_file", "_ls_pos"
 
 
@@ -78,7 +80,13 @@ class Positions:
             found = ds.dataset(folder, filesystem=system, format="parquet").to_table(filter=ds.field(FILE) == file)
             return dict(zip(found.column("chunk").to_pylist(), found.column("bits").to_pylist()))
 
-        return worker_cache(f"positions|{self.path}|{file}", load)
+        held = worker_cache("positions", dict)
+        key = (self.path, file)
+        if key not in held:
+            if len(held) >= HELD:
+                held.pop(next(iter(held)))
+            held[key] = load()
+        return held[key]
 
     def contains(self, files: list, positions) -> "np.ndarray":
         """For each row whether its position is in the set."""

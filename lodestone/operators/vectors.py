@@ -102,21 +102,26 @@ def centroid_gate(rows: DataFrame, group: str, key: str, vector: str = "embeddin
     return d.join(F.broadcast(p90), group).withColumn("inside", F.col("distance") <= F.col("p90"))
 
 
-def searched(rows: DataFrame, queries: DataFrame, key: str, most: int, vector: str = "embedding") -> DataFrame:
-    """The ``most`` nearest rows of each query, in blocks of queries against all rows.
+def query_distances(rows: DataFrame, queries: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
+    """``(query, key, distance)`` of every query to every other row, in blocks of queries against all rows.
 
-    Queries are split into blocks of at most 1024, each a broadcast of bounded size;
-    every partition keeps the best of its rows before anything is shuffled.
+    A block has about 1024 queries, so what is broadcast at once has a bounded size.
     """
     numbered = queries.select(F.col(key).alias("query"), F.col(vector).alias("qv"))
     blocks = max(1, -(-numbered.count() // 1024))
     out = None
     for i in range(blocks):
         part = numbered.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i)
-        near = rows.join(F.broadcast(part), F.col(key) != F.col("query")).select("query", key, F.round(cosine_distance(F.col(vector), F.col("qv")), 6).alias("distance"))
+        near = rows.join(F.broadcast(part), F.col(key) != F.col("query")).select("query", key, cosine_distance(F.col(vector), F.col("qv")).alias("distance"))
         out = near if out is None else out.unionByName(near)
+    return out
+
+
+def searched(rows: DataFrame, queries: DataFrame, key: str, most: int, vector: str = "embedding") -> DataFrame:
+    """The ``most`` nearest rows of each query; every partition keeps its best rows before anything is shuffled."""
+    near = query_distances(rows, queries, key, vector).withColumn("distance", F.round("distance", 6))
     rank = F.row_number().over(W.partitionBy("query").orderBy("distance", key))
-    return out.withColumn("rank", rank).filter(F.col("rank") <= most)
+    return near.withColumn("rank", rank).filter(F.col("rank") <= most)
 
 
 def average_linkage(n: int, distance: np.ndarray, cut_at: float) -> list[int]:

@@ -46,10 +46,8 @@ def nearest_neighbours(spark, d):
 def distance_percentiles(spark, d):
     """Percentiles of the distance from the queries to all other vectors, per query."""
     v = _v(spark, d)
-    q = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("qv"))
-    # The stated query set is a fiftieth of a table of vectors; AQE keeps the join off broadcast where it is large.
-    dist = v.join(q, F.col("vec_id") != F.col("query")).select("query", vectors.cosine_distance(F.col("embedding"), F.col("qv")).alias("d"))
-    p = dist.groupBy("query").agg(F.percentile("d", F.array(F.lit(0.01), F.lit(0.35), F.lit(0.5), F.lit(0.75))).alias("p"))
+    d = vectors.query_distances(v, v.filter("vec_id % 50 = 0"), "vec_id")
+    p = d.groupBy("query").agg(F.percentile("distance", F.array(F.lit(0.01), F.lit(0.35), F.lit(0.5), F.lit(0.75))).alias("p"))
     return p.select("query", *[F.round(F.col("p")[i], 6).alias(n) for i, n in enumerate(("p1", "p35", "p50", "p75"))])
 
 

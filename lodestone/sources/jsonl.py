@@ -7,11 +7,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CORRUPT = "_corrupt_record"
-EVIDENCE = T.StructType.fromDDL(
-    "id string, cell_id string, source string, url string, title string, text string, author string, community string, "
-    "engagement struct<score: bigint, comments: bigint>, created_utc bigint, captured_utc bigint, query string"
-)
-HEALTH = T.StructType.fromDDL("source string, status string, fallback string, detail string")
+
+
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
+
+
+_S, _L = T.StringType(), T.LongType()
+EVIDENCE = _struct(
+    id=_S, cell_id=_S, source=_S, url=_S, title=_S, text=_S, author=_S, community=_S,
+    engagement=_struct(score=_L, comments=_L), created_utc=_L, captured_utc=_L, query=_S,
+)
+HEALTH = _struct(source=_S, status=_S, fallback=_S, detail=_S)
 
 
 def scan(spark: SparkSession, paths: list[str], schema: T.StructType = EVIDENCE) -> tuple[DataFrame, DataFrame]:
