@@ -66,8 +66,8 @@ def cuts(spans: list[tuple[int, int]], marks: list[list[int]]) -> list[int]:
     """Where pieces begin: 0 and, for each pair of neighbours, their first common boundary.
 
     Neighbours without one (a run of one kind of character as long as the
-    overlap) stay in one piece. A boundary that the left chunk sees at its own
-    end is not trusted.
+    overlap) stay in one piece. The last boundary that the left chunk sees is
+    not trusted, as its own end may have made it.
     """
     out = [0]
     for (_, end), left, right in zip(spans, marks, marks[1:]):
@@ -104,7 +104,8 @@ def encode_column(df: DataFrame, key: str, text: str, vocabulary: str, chunk: in
             for s, e, part in zip(*(batch.column(c).to_pylist() for c in ("start", "end", "part"))):
                 marks = [s + m for m in boundaries(part)]
                 head.append([m for m in marks if m < s + overlap])
-                tail.append([m for m in marks if m >= e - overlap])
+                # A piece must not end in white space: where a run of it is split depends on what follows.
+                tail.append([m for m in marks if m >= e - overlap and m > s and not part[m - s - 1].isspace()])
             columns = [batch.column(c) for c in ("_doc", "i", "start", "end")]
             yield pa.RecordBatch.from_arrays([*columns, _list_array(head), _list_array(tail)], names=["_doc", "i", "start", "end", "head", "tail"])
 

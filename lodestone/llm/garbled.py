@@ -113,19 +113,19 @@ class Mender:
         out, reach = [], 0
         for s, e in found:
             if s < reach:
-                if out and s == out[-1][0]:
-                    continue
-                # A longer form that begins inside the one taken wins nothing: forms are read from the left.
                 continue
             out.append((s, e))
             reach = e
-        kept = []
+        kept, unsure = [], []
         for k, (s, e) in enumerate(out):
             original, kind, sure = self.forms[text[s:e]]
             beside = (k > 0 and out[k - 1][1] == s) or (k + 1 < len(out) and out[k + 1][0] == e)
-            if self._sound(text, s, e, sure, beside):
-                continue
-            kept.append((s, e, original, kind))
+            (unsure if self._sound(text, s, e, sure, beside) else kept).append((s, e, original, kind))
+        if kept and unsure:
+            # Signs that stand alone are garbled where the same mistake is seen elsewhere in the text.
+            kinds = {x[3] for x in kept}
+            kept += [x for x in unsure if x[3] in kinds and not x[2].isalpha()]
+            kept.sort()
         return kept
 
     @staticmethod
@@ -139,7 +139,9 @@ class Mender:
             # An upper-case word may end in such a letter before a quote, a dash or a blank.
             return not after.isalpha() if tail != " " else before.isupper()
         if "Ѐ" <= head <= "ӿ":
-            # Cyrillic letters beside it: a Cyrillic word.
+            # Two Cyrillic letters are garbled Latin only inside a Latin word; a letter and a sign not inside a Cyrillic one.
+            if form.isalpha():
+                return not any(c.isascii() and c.isalpha() or "À" <= c <= "ÿ" for c in (before, after))
             return any("Ѐ" <= c <= "ӿ" for c in (before, after)) and not beside
         if "─" <= head <= "╿":
             return any("─" <= c <= "╿" for c in (before, after)) and not beside
