@@ -136,4 +136,23 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_posts": p1_posts}
-ORACLES: dict[str, str] = {}
+
+_SQUEEZE = r"lower(regexp_replace({c}, '[\s\p{{Z}}\p{{Cc}}\p{{Cf}}]+', '', 'g'))"
+_ID = f"regexp_replace({_SQUEEZE.format(c='id')}, '^(?:urn:)?[a-z][a-z0-9]*:', '')"
+_BASE = rf"regexp_replace(regexp_replace(regexp_replace({_SQUEEZE.format(c='url')}, '#.*$', ''), '^(?:[a-z][a-z0-9+.-]*:)?//', ''), '^(?:www|old|new|np|m|amp|mobile)\.', '')"
+_KEPT = r"list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'), lambda p: p <> '' and not regexp_matches(p, '^(utm_[a-z_]+|ref|ref_src|share_id|fbclid|gclid|si|source|context)(=.*)?$'))"
+#: Rounds of taking the smallest label over equal identifiers and over equal permalinks.
+_ROUNDS = "".join(
+    f", a{i} as (select *, min(l{i}) over (partition by coalesce(cid, 'r' || row_id)) as m{i} from b{i}), b{i + 1} as (select *, min(m{i}) over (partition by coalesce(link, 'r' || row_id), created_utc) as l{i + 1} from a{i})"
+    for i in range(5)
+)
+ORACLES = {
+    "p1_found": rf"""with raw as (
+      select *, case when {_ID} not in ('', 'null', 'none', 'n/a', 'na', 'nan', 'unknown', 'undefined', '-') then {_ID} end as cid, {_BASE} as u from evidence_sample),
+    b0 as (select row_id, cid, created_utc, cell_id, engagement, captured_utc, row_id as l0, regexp_replace(regexp_replace(split_part(u, '?', 1), '/{{2,}}', '/', 'g'), '/$', '')
+      || case when len({_KEPT}) > 0 then '?' || array_to_string(list_sort({_KEPT}), '&') else '' end as link from raw){_ROUNDS},
+    r as (select row_id, l5 as post, case when captured_utc <= 0 then null when captured_utc >= 100000000000000 then captured_utc // 1000000 when captured_utc >= 100000000000 then captured_utc // 1000 else captured_utc end as taken,
+      (lower(trim(cell_id)) in (select cell_id from matrix))::int as cell, (engagement.score between -500 and 60000)::int as score from b5),
+    k as (select *, count(*) over (partition by post) as n, row_number() over (partition by post order by coalesce(cell, 0) + coalesce(score, 0) + (taken is not null)::int desc, coalesce(taken, -1) desc, row_id) as rk from r)
+    select post as first_row_id, row_id as best_row_id from k where n > 1 and rk = 1"""
+}

@@ -150,4 +150,30 @@ def p6_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p6_found": p6_found, "p6_contents": p6_contents}
 
-ORACLES: dict[str, str] = {}
+
+_BLANK = r"[\s\p{Z}\p{Cf}]"
+_START_SQL = r"(?:^|[\n;|/])[\s\p{Z}\p{Cf}\-*•>]*"
+
+
+def _plain_sql(c: str) -> str:
+    return rf"regexp_replace(replace(lower({c}), 'ß', 'ss'), '[^\p{{L}}\p{{N}}]+', '', 'g')"
+
+
+def _content_sql(c: str) -> str:
+    parts = rf"string_split(regexp_replace(lower({c}), '{_START_SQL}\b(' || either || ')\b', chr(1) || '\1', 'g'), chr(1))"
+    fields = f"list_sort(list_filter(list_transform({parts}, lambda x: {_plain_sql('x')}), lambda x: x <> ''))"
+    many = f"len(list_filter(heads, lambda h: contains(lower({c}), h))) >= 3 and len({parts}) > 3"
+    return f"case when either is not null and {many} then array_to_string({fields}, chr(1)) else {_plain_sql(c)} end"
+
+
+CONTENTS_SQL = rf"""
+starts as (select unnest(list_distinct(regexp_extract_all(text, '{_START_SQL}([A-Za-z][A-Za-z ]{{1,24}}?)[ ]?:', 1))) as label from evidence_sample),
+labels as (select lower(label) as label from starts group by 1 having count(*) >= greatest(3, 0.005 * (select count(*) from evidence_sample))),
+l as (select string_agg(replace(label, ' ', '{_BLANK}+'), '|' order by length(label) desc, label) as either, list_distinct(list(split_part(label, ' ', 1))) as heads from labels),
+t as (select row_id, coalesce({_content_sql('title')}, '') as a, {_content_sql('text')} as b from evidence_sample, l),
+contents as (select row_id, least(a, b) || chr(2) || greatest(a, b) as k from t where b is not null and b not in ('', 'removed', 'deleted', 'removedbymoderator', 'deletedbyuser')),
+firsts as (select row_id, min(row_id) over (partition by k) as first_row_id, count(*) over (partition by k) as copies from contents)"""
+ORACLES = {
+    "p6_found": f"with {CONTENTS_SQL} select first_row_id, row_id from firsts where row_id <> first_row_id",
+    "p6_contents": f"with {CONTENTS_SQL} select row_id, copies from firsts where row_id = first_row_id",
+}
