@@ -14,8 +14,25 @@ def _merged(attribute: str) -> dict:
     return out
 
 
+#: Counts and ranks that come out as 64-bit numbers, as they do in SQL.
+WIDE = {
+    "exemplars_top3": ["rank"], "top_comments": ["rank"], "title_slugs": ["words"], "matrix_problems": ["n"], "slope_shape_canonical": ["n"], "supply_shape": ["n"],
+    "centroid": ["pos"], "nearest_neighbours": ["rank"], "contract_sort": ["rank"], "analysis_cap": ["rank"], "page_status": ["longest"], "window_plan": ["age"],
+    "comparison_groups": ["grp"], "cells_recaptured": ["missing", "before"],
+}
+
+
+def _widened(query, columns: list[str]):
+    def run(spark, sf_dir):
+        df = query(spark, sf_dir)
+        return df.withColumns({c: df[c].cast("bigint") for c in columns})
+
+    run.__doc__ = query.__doc__
+    return run
+
+
 def queries() -> dict:
-    return _merged("QUERIES")
+    return {name: _widened(q, WIDE[name]) if name in WIDE else q for name, q in _merged("QUERIES").items()}
 
 
 def oracle_sql() -> dict:
