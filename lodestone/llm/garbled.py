@@ -92,7 +92,7 @@ class Mender:
             self.automaton.add_word(form, len(form))
         self.automaton.make_automaton()
         heads = {f[0] for f in self.forms}
-        self.suspects = re.compile("[" + re.escape("".join(sorted(heads | set(self.swaps) | {LOST}))) + "]")
+        self.suspects = re.compile("[" + re.escape("".join(sorted(heads | set(self.swaps) | set("╗░▒╜") | {LOST}))) + "]")
         # A wrong character inside a word of Latin letters. Letters that words of these languages have there are no sign.
         natural = set("àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœ’‘“”„‚‹›'·-–—…°ªºˆ")
         odd = "".join(sorted(c for c in self.swaps if c not in natural))
@@ -101,6 +101,9 @@ class Mender:
         self.odd = set(odd)
         self.latin = re.compile(f"[{latin}]")
         self.strong = {c for c in self.odd if ord(c) >= 0x370 and ord(c) < 0x2000 or 0x2190 <= ord(c) < 0x25FF or c == "ⁿ"}
+        # Signs of a one-byte swap to a line-drawing code page outside words, and what else that swap has done to a text that shows them.
+        self.signs = re.compile(r"½(?=[A-Za-z]+╗)|(?<=[A-Za-z])╗(?![─-╿])|(?<=\d)░(?=[CF\s])|(?<=[\dCF] )▒(?= \d)|(?<=\s)╜(?=\s[a-z])|(?<!\w)α(?= la\b)|(?<=[a-z][a-z])φ(?!\w)|(?<=\b[Oo])∙(?=\s)")
+        self.beside_signs = re.compile(r"┐(?=[A-Za-zÀ-ÿ])|(?<!\w)·(?=[a-z]{2})|í(?=[A-ZÀ-Ý])")
         self.run = re.compile(r"[^\x00-\x7f]{4,}")
         self.old_cyrillic = re.compile(r"(?<![A-Za-z])[à-ÿÀ-Ö]{4,}(?![A-Za-z])")
 
@@ -170,8 +173,10 @@ class Mender:
                 for letter, kind in self.swaps[word[i]]:
                     if letter.islower():
                         votes.setdefault(kind, []).append(m.start())
+        drawn = SWAPPED[0][1]
+        signs = [(m.start(), m.end(), m.group().encode(drawn).decode("cp1252"), f"cp1252 as {drawn}") for m in self.signs.finditer(text)]
         if not votes or not strong and max(map(len, votes.values())) < 2:
-            return []
+            return signs
         kind = max(votes, key=lambda k: (len(votes[k]), -[f"{a} as {b}" for a, b in SWAPPED].index(k)))
         back = {seen: letter for seen, pairs in self.swaps.items() for letter, k in pairs if k == kind}
         starts = set(votes[kind])
@@ -184,6 +189,10 @@ class Mender:
                 mended = "".join(back.get(c, c) for c in word)
                 if mended != word:
                     out.append((m.start(), m.end(), mended, kind))
+        if kind == f"cp1252 as {drawn}":
+            more = [(m.start(), m.end(), m.group().encode(drawn).decode("cp1252"), kind) for m in self.beside_signs.finditer(text)]
+            out += [x for x in [*signs, *more] if not any(a < x[1] and x[0] < b for a, b, *_ in out)]
+            out.sort()
         return out
 
     def quoted(self, text: str, s: int, e: int) -> bool:

@@ -405,9 +405,14 @@ def test_one_byte_swap():
     assert MENDER.mend(text.encode("cp1252").decode("cp437"))[:2] == (True, text)
 
 
+@pytest.mark.parametrize("text", ["We are ½ staffed", "wrote «fin» on it", "stay at 24°C ± 2", "last sheet, à la carte", "así se pierde"])
+def test_signs_of_a_swap(text):
+    assert MENDER.mend(text.encode("cp1252").decode("cp437"))[:2] == (True, text)
+
+
 @pytest.mark.parametrize(
     "text",
-    [SOUND, None, "", "plain", "nÃO HÁ INFORMAÇÃO", "Θ = 42, Σx ≤ 9, Δt ≈ 3", "Заметка: ключ у гостя. Её ёлка, Він", "テスト 테스트 اختبار 仓库盘点每周一次。", "🐝📦 ok 👍🏽", "été (decomposed)",
+    ["╔══╗\n║ a ║\n╚══╝", "│ name ░░▒▒ 40%", "α = 0.05", SOUND, None, "", "plain", "nÃO HÁ INFORMAÇÃO", "Θ = 42, Σx ≤ 9, Δt ≈ 3", "Заметка: ключ у гостя. Её ёлка, Він", "テスト 테스트 اختبار 仓库盘点每周一次。", "🐝📦 ok 👍🏽", "été (decomposed)",
      "Their feed showed “CafÃ©” where the café's name belongs", "had typed “â€™” for an apostrophe", "├── src\n│   └── a", "20°C ± 2", "MANHÃ” disse"],
 )
 def test_sound_text_stays(text):
