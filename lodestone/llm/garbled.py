@@ -99,6 +99,7 @@ class Mender:
         latin = "A-Za-zÀ-ÖØ-öø-ÿ"
         self.word = re.compile(f"[{latin}{re.escape(''.join(sorted(self.swaps)))}]+")
         self.odd = set(odd)
+        self.oddity = re.compile("[" + re.escape(odd + "╗░▒╜αφ∙") + "]")
         self.latin = re.compile(f"[{latin}]")
         self.strong = {c for c in self.odd if ord(c) >= 0x370 and ord(c) < 0x2000 or 0x2190 <= ord(c) < 0x25FF or c == "ⁿ"}
         # Signs of a one-byte swap to a line-drawing code page outside words, and what else that swap has done to a text that shows them.
@@ -152,6 +153,8 @@ class Mender:
 
     def swapped(self, text: str) -> list[tuple[int, int, str, str]]:
         """Words with a letter misread between one-byte encodings, with the word restored."""
+        if not self.oddity.search(text):
+            return []
         votes: dict[str, list] = {}
         strong = False
         for m in self.word.finditer(text):
