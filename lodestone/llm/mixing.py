@@ -55,7 +55,7 @@ def queued(sized: DataFrame, targets: DataFrame, budget: int | None = None, seed
     offsets = slices.withColumn("before", F.coalesce(F.sum("tokens").over(upto), F.lit(0))).select("source", "slice", "before")
     inside = W.partitionBy("source", "slice").orderBy("place", "doc_id").rowsBetween(W.unboundedPreceding, 0)
     # The offsets meet the rows where the window has put them; one row per listed source is broadcast.
-    ranked = rows.withColumn("run", F.sum("n_tokens").over(inside)).join(offsets, ["source", "slice"]).join(F.broadcast(shares), "source")
+    ranked = rows.withColumn("run", F.sum("n_tokens").over(inside)).join(offsets.hint("merge"), ["source", "slice"]).join(F.broadcast(shares), "source")
     done = (F.col("before") + F.col("run")).cast("bigint")
     allowed = F.floor(F.lit(budget) * F.col("weight") + 1e-6).cast("bigint")
     last_use = F.least(F.col("repeat_cap").cast("bigint") - 1, F.call_function("div", allowed - done, F.col("source_tokens")))
