@@ -190,6 +190,21 @@ def test_near_copies_by_hand(spark, tmp_path, page):
     assert sum(labels.get(a) == labels.get(b) != None for a, b in want) >= 0.99 * len(want)  # noqa: E711
 
 
+def test_long_texts_without_a_long_common_run(spark, tmp_path):
+    rng = random.Random(14)
+    vocabulary = [f"w{i}" for i in range(20_000)]
+    rows = []
+    for base in range(12):
+        words = rng.sample(vocabulary, 100 + 20 * base)
+        every = 8 + base % 4
+        rows += [(2 * base + 1, " ".join(words)), (2 * base + 2, " ".join(f"x{base}y{k}" if k % every == every - 1 else w for k, w in enumerate(words)))]
+    folder = write_evidence(spark, tmp_path, [dict(row_id=r, text=t) for r, t in rows])
+    links = near_copies.near_copies(spark, f"{folder}/evidence_sample.parquet")[1]
+    want = near_by_hand(rows)
+    assert len(want) >= 9
+    assert {(r["a"], r["b"]) for r in links.collect()} == want
+
+
 def test_bound_is_never_below_the_overlap():
     rng = np.random.default_rng(1)
     texts = [" ".join(rng.choice([f"w{i}" for i in range(60)], 80)) for _ in range(30)]
