@@ -21,8 +21,8 @@ from ..runtime import cut, table, worker_cache
 
 HASHED, TERMS, VECTORS = 65_536, 2_048, 44
 LEAST_CLUSTERS, MOST_CLUSTERS = 10, 40
-#: A term in more than this share of the records says little about their subject.
-COMMON = 0.09
+#: The weight of a term is this power of its idf: what most records have weighs next to nothing, and no share of the records is a limit.
+FADE = 3
 STEPS, LLOYD, SEEDS = 7, 4, 8_000
 _WORD = re.compile(r"[^\W\d_]{3,}")
 
@@ -117,12 +117,12 @@ class Themes:
         found = _summed(terms, 1, lambda it: sum((np.bincount(_flat(b)[0], minlength=HASHED) for b in it), np.zeros(HASHED)).reshape(-1, 1))
         counts = _grown(found, HASHED)[:, 0]
         n = self.n = terms.count()
-        ranked = np.argsort(-np.where((counts <= COMMON * n) & (counts >= min(3, n)), counts, 0), kind="stable")[:TERMS]
-        chosen = ranked[counts[ranked] > 0] if n else ranked[:0]
-        self.chosen = chosen[counts[chosen] <= COMMON * n]
+        # A term that every record has tells none apart.
+        ranked = np.argsort(-np.where((counts < n) & (counts >= min(3, n)), counts, 0), kind="stable")[:TERMS]
+        self.chosen = ranked[(counts[ranked] > 0) & (counts[ranked] < n)]
         self.place = np.full(HASHED, -1, np.int32)
         self.place[self.chosen] = np.arange(len(self.chosen))
-        self.weight = np.log(n / counts[self.chosen]).astype(np.float32) if len(self.chosen) else np.zeros(0, np.float32)
+        self.weight = (np.log(n / counts[self.chosen]) ** FADE).astype(np.float32) if len(self.chosen) else np.zeros(0, np.float32)
         self.k, self.centers = 0, np.zeros((0, 0))
         if len(self.chosen) >= 2 * LEAST_CLUSTERS:
             self._iterate(seed)
@@ -291,7 +291,7 @@ def themes(rows: DataFrame, k: int | None = None) -> Themes:
     """Cluster ``(row_id, title, text)`` into ``k`` clusters, or as many as the eigenvalues show.
 
     All rows take part and are counted. A null title or text is empty; rows with no
-    term that is neither rare nor common belong to cluster -1, as do all rows of a
+    term but such as are rare or in every row belong to cluster -1, as do all rows of a
     table too small to have twenty such terms. Repeated rows are rows.
     """
     text = F.when((F.length("text") > 60) | ~letters(F.col("text")).isin(*REMOVAL_MARKS), F.col("text"))

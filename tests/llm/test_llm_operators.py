@@ -303,6 +303,18 @@ def test_clusters_of_planted_themes(spark):
     assert np.mean([(truth[a] == truth[b]) == (got[a] == got[b]) for a, b in pairs]) > 0.98
 
 
+def test_a_subject_with_a_third_of_the_rows(spark):
+    rng = random.Random(5)
+    topics = [[f"{t}word{chr(97 + i)}" for i in range(26)] for t in "abcdefghijkl"]
+    common = [f"filler{chr(97 + i)}" for i in range(26)]
+    truth = {i: 0 if i % 3 == 0 else 1 + i % 11 for i in range(1500)}
+    rows = [(i, " ".join(rng.sample(topics[t], 3)), " ".join(rng.sample(topics[t], 8) + rng.sample(common, 12))) for i, t in truth.items()]
+    got = {r["row_id"]: r["cluster"] for r in themes.themes(spark.createDataFrame(rows, "row_id bigint, title string, text string"), 12).labels().collect()}
+    pairs = list(combinations(rng.sample(range(1500), 150), 2))
+    assert np.mean([got[a] == got[b] for a, b in pairs if truth[a] == truth[b]]) > 0.98
+    assert np.mean([got[a] != got[b] for a, b in pairs if truth[a] != truth[b]]) > 0.98
+
+
 def test_too_small_to_cluster(spark):
     df = spark.createDataFrame([(1, "a", "b"), (2, None, None)], "row_id bigint, title string, text string")
     assert {r["cluster"] for r in themes.themes(df).labels().collect()} == {-1}
