@@ -71,10 +71,10 @@ def swapped_letters() -> dict[str, list[tuple[str, str]]]:
             if not letter.isalpha():
                 continue
             try:
-                seen = letter.encode(right).decode(wrong)
+                seen = _misread(letter.encode(right), wrong)
             except UnicodeError:
                 continue
-            if seen != letter and not seen.isascii():
+            if seen and seen != letter and not seen.isascii():
                 out.setdefault(seen, []).append((letter, f"{right} as {wrong}"))
     return out
 
@@ -96,10 +96,12 @@ class Mender:
         # A wrong character inside a word of Latin letters. Letters that words of these languages have there are no sign.
         natural = set("àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœ’‘“”„‚‹›'·-–—…°ªºˆ")
         odd = "".join(sorted(c for c in self.swaps if c not in natural))
+        # Marks that sound text has beside words, but not between two lower-case letters. Dashes, dots and apostrophes it has there too.
+        self.marks = set("„”‚ˆ") & set(self.swaps)
         latin = "A-Za-zÀ-ÖØ-öø-ÿ"
         self.word = re.compile(f"[{latin}{re.escape(''.join(sorted(self.swaps)))}]+")
         self.odd = set(odd)
-        self.oddity = re.compile("[" + re.escape(odd + "╗░▒╜αφ∙") + "]")
+        self.oddity = re.compile("[" + re.escape(odd + "╗░▒╜αφ∙") + "]|(?<=[a-z])[" + "".join(sorted(self.marks)) + "](?=[a-z])")
         self.latin = re.compile(f"[{latin}]")
         self.strong = {c for c in self.odd if ord(c) >= 0x370 and ord(c) < 0x2000 or 0x2190 <= ord(c) < 0x25FF or c == "ⁿ"}
         # Signs of a one-byte swap to a line-drawing code page outside words, and what else that swap has done to a text that shows them.
@@ -156,10 +158,11 @@ class Mender:
         if not self.oddity.search(text):
             return []
         votes: dict[str, list] = {}
+        usual: dict[str, int] = {}
         strong = False
         for m in self.word.finditer(text):
             word = m.group()
-            inner = [i for i, c in enumerate(word) if c in self.odd]
+            inner = [i for i, c in enumerate(word) if c in self.odd or c in self.marks and word[i - 1 : i].islower() and word[i + 1 : i + 2].islower()]
             if not inner or len(word) - len(inner) < 3:
                 continue
             good = []
@@ -176,11 +179,12 @@ class Mender:
                 for letter, kind in self.swaps[word[i]]:
                     if letter.islower():
                         votes.setdefault(kind, []).append(m.start())
+                        usual[kind] = usual.get(kind, 0) + (word[i + 1 : i + 2] == "o" if letter == "ã" else word[i + 1 : i + 2] == "e" if letter == "õ" else letter in "äöüßéèêàçñáíóú" and letter + word[i + 1 : i + 2] != "äo")
         drawn = SWAPPED[0][1]
         signs = [(m.start(), m.end(), m.group().encode(drawn).decode("cp1252"), f"cp1252 as {drawn}") for m in self.signs.finditer(text)]
         if not votes or not strong and max(map(len, votes.values())) < 2:
             return signs
-        kind = max(votes, key=lambda k: (len(votes[k]), -[f"{a} as {b}" for a, b in SWAPPED].index(k)))
+        kind = max(votes, key=lambda k: (len(votes[k]), usual[k], -[f"{a} as {b}" for a, b in SWAPPED].index(k)))
         back = {seen: letter for seen, pairs in self.swaps.items() for letter, k in pairs if k == kind}
         starts = set(votes[kind])
         out = []

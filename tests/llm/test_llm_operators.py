@@ -432,6 +432,12 @@ def test_one_byte_swap():
     assert MENDER.mend(text.encode("cp1252").decode("cp437"))[:2] == (True, text)
 
 
+@pytest.mark.parametrize("wrong", ["cp437", "cp850"])
+@pytest.mark.parametrize("text", ["wir hätten es längst gekauft", "das können wir nicht lösen", "es wurde natürlich zurück gelegt"])
+def test_swap_to_ordinary_marks(text, wrong):
+    assert MENDER.mend(garbled._misread(text.encode(wrong), "cp1252"))[:2] == (True, text)
+
+
 @pytest.mark.parametrize("text", ["We are ½ staffed", "wrote «fin» on it", "stay at 24°C ± 2", "last sheet, à la carte", "así se pierde"])
 def test_signs_of_a_swap(text):
     assert MENDER.mend(text.encode("cp1252").decode("cp437"))[:2] == (True, text)
