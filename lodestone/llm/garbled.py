@@ -174,7 +174,7 @@ class Mender:
                     good.append(i)
             if not good:
                 continue
-            strong = strong or any(word[i] in self.strong for i in good)
+            strong = strong or any(word[i] in self.strong or self._misplaced(word, i) for i in good)
             for i in good:
                 for letter, kind in self.swaps[word[i]]:
                     if letter.islower():
@@ -202,6 +202,13 @@ class Mender:
             out.sort()
         return out
 
+    def _misplaced(self, word: str, i: int) -> bool:
+        """Whether sound words cannot have such a character there: one is evidence then."""
+        left, right = word[:i], word[i + 1 :]
+        if word[i] in self.marks or "\x80" <= word[i] <= "\x9f":
+            return left[-1:].islower() and right[:1].islower()
+        return word[i].isupper() and len(left) > 1 and left.islower() and (not right or right.islower())
+
     def quoted(self, text: str, s: int, e: int) -> bool:
         """Whether a span lies in a single quoted word."""
         left = s

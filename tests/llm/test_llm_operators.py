@@ -438,6 +438,11 @@ def test_swap_to_ordinary_marks(text, wrong):
     assert MENDER.mend(garbled._misread(text.encode(wrong), "cp1252"))[:2] == (True, text)
 
 
+@pytest.mark.parametrize("right, wrong", [("cp1252", "mac_roman"), ("mac_roman", "cp1252")])
+def test_one_misread_letter(right, wrong):
+    assert MENDER.mend(f"We met in the {garbled._misread('café'.encode(right), wrong)} today")[:2] == (True, "We met in the café today")
+
+
 @pytest.mark.parametrize("text", ["We are ½ staffed", "wrote «fin» on it", "stay at 24°C ± 2", "last sheet, à la carte", "así se pierde"])
 def test_signs_of_a_swap(text):
     assert MENDER.mend(text.encode("cp1252").decode("cp437"))[:2] == (True, text)
