@@ -20,9 +20,9 @@ def queued(sized: DataFrame, targets: DataFrame, budget: int | None = None, seed
     that finishes by the total budget, ranged by finish time. Weights are the target
     shares over sources that have tokens, scaled to sum 1; a listed source without
     documents gets nothing and an unlisted or null source takes no part, nor do
-    documents without tokens. ``budget`` in tokens is lowered to (and by
-    default is) the largest at which no source runs out of its allowed uses, so the shares hold to
-    within one document a source. Rows that repeat a doc_id are documents of their own.
+    documents without tokens. ``budget`` in tokens is by default the largest at which
+    no source runs out of its allowed uses, so the shares hold to within one document a
+    source. With a larger one, sources stop at their caps and the shares reached show it. Rows that repeat a doc_id are documents of their own.
 
     Returns the uses ``(doc_id, source, use, n_tokens, finish)`` and, per listed
     source, the report ``(source, target_share, weight, documents, tokens, uses,
@@ -46,7 +46,7 @@ def queued(sized: DataFrame, targets: DataFrame, budget: int | None = None, seed
     scale = sum(r["target_share"] for r in filled.values()) or 1.0
     weight = {s: r["target_share"] / scale for s, r in filled.items()}
     most = min((int(r["tokens"] * r["repeat_cap"] / weight[s]) for s, r in filled.items()), default=0)
-    budget = most if budget is None else min(budget, most)
+    budget = most if budget is None else budget
     shares = spark.createDataFrame(
         [(s, float(r["target_share"]), weight.get(s, 0.0), int(r["tokens"] or 0), int(r["documents"] or 0), int(r["repeat_cap"])) for s, r in sorted(plan.items())],
         "source string, target_share double, weight double, source_tokens bigint, documents bigint, repeat_cap int",

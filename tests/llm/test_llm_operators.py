@@ -406,6 +406,15 @@ def test_mixture_holds_its_shares(spark):
     assert 280 <= sum(u["n_tokens"] for u in small.collect()) <= 300
 
 
+def test_a_scarce_source_stops_at_its_cap(spark):
+    sized = spark.createDataFrame([(i, "a", 5) for i in range(200)] + [(900, "b", 5)], "doc_id bigint, source string, n_tokens bigint")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 3)], "source string, target_share double, repeat_cap int")
+    mixture, report = mixing.queued(sized, targets, budget=1000)
+    got = {r["source"]: r for r in report.collect()}
+    assert (got["a"]["used_tokens"], got["b"]["used_tokens"], got["b"]["most_uses"]) == (500, 15, 3)
+    assert mixture.count() == 103 and got["b"]["reached_share"] < got["b"]["target_share"]
+
+
 # 10 ------------------------------------------------------------------------------------------------
 
 SOUND = "Größere Änderungen müssen übers Wochenende geschehen – «fin» 30 €, el año pasó así, Âge du système; “We’re” naïve. Pingüino, ação, È, œuvre."
