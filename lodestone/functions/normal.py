@@ -40,12 +40,12 @@ def permalink(c: Column) -> Column:
 
 
 def handle(c: Column, sigil: str) -> Column:
-    """A handle without its ``u/`` or ``r/`` sigil, blanks around it and letter case.
+    """A handle without leading slash, its ``u/`` or ``r/`` sigil, blanks around it and letter case.
 
     Null for null, blank, placeholder and deleted handles.
     """
     s = F.lower(F.regexp_replace(c, rf"^{BLANKS}|{BLANKS}$", ""))
-    s = F.regexp_replace(s, rf"^/?{sigil}/", "")
+    s = F.regexp_replace(s, rf"^/?(?:{sigil}/)?", "")
     return F.when(~s.isin(*GONE), s)
 
 

@@ -32,14 +32,18 @@ def session(app: str = "lodestone", cpus: str = "8", **conf: str) -> SparkSessio
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset, as
-    in tests on one machine, a local temporary folder is chosen and set.
+    It is the session's ``spark.checkpoint.dir``. Only where that is unset and
+    the master is local, as in tests on one machine, a local temporary folder is
+    chosen and set; a cluster without the setting is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
+        master = spark.sparkContext.master
         if set_before.isDefined():
             folder = set_before.get()
+        elif master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         else:
             folder = f"file://{_OWN_DIR}"
             spark.sparkContext.setCheckpointDir(folder)
@@ -79,6 +83,30 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file so that it appears whole or not at all; an existing one is an error."""
+    jvm = spark._jvm
+    target, part = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex[:8]}.tmp")
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = system.create(part)
+    out.write(bytearray(text.encode("utf-8")))
+    out.close()
+    if system.exists(target) or not system.rename(part, target):
+        system.delete(part, False)
+        raise FileExistsError(path)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    return "\n".join(r[0] for r in spark.read.option("wholetext", True).text(path).collect())
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """The names of what a folder holds; none if it does not exist."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in system.listStatus(target)) if system.exists(target) else []
+
+
 def worker_cache(key: str, build):
     """A value kept for the life of a Python worker process, across its tasks."""
     import builtins
