@@ -152,7 +152,7 @@ def p2_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p2_found": p2_found, "p2_capped": p2_capped}
 
-_HANDLE = r"regexp_replace(lower(regexp_replace({c}, '^[\s\p{{Z}}\p{{Cc}}\p{{Cf}}]+|[\s\p{{Z}}\p{{Cc}}\p{{Cf}}]+$', '', 'g')), '^/?{s}/', '')"
+_HANDLE = r"regexp_replace(lower(regexp_replace({c}, '^[\s\p{{Z}}\p{{Cc}}\p{{Cf}}]+|[\s\p{{Z}}\p{{Cc}}\p{{Cf}}]+$', '', 'g')), '^/?(?:{s}/)?', '')"
 ORACLES = {
     "p2_found": f"""
 with r as (
