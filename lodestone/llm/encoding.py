@@ -14,6 +14,7 @@ import os
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..runtime import table, worker_cache
@@ -62,23 +63,6 @@ def chunk_spans(length: int, chunk: int, overlap: int) -> list[tuple[int, int]]:
     return [(s, min(length, s + chunk + overlap)) for s in starts]
 
 
-def cuts(spans: list[tuple[int, int]], marks: list[list[int]]) -> list[int]:
-    """Where pieces begin: 0 and, for each pair of neighbours, their first common boundary.
-
-    Neighbours without one (a run of one kind of character as long as the
-    overlap) stay in one piece. The last boundary that the left chunk sees is
-    not trusted, as its own end may have made it.
-    """
-    out = [0]
-    for (_, end), left, right in zip(spans, marks, marks[1:]):
-        trusted = left[:-1] if left else []
-        common = sorted(set(trusted) & set(right))
-        common = [c for c in common if c < end - 1]
-        if common:
-            out.append(common[0])
-    return out
-
-
 def encode_column(df: DataFrame, key: str, text: str, vocabulary: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """``(key, ids)`` for every row of ``df``.
 
@@ -98,61 +82,58 @@ def encode_column(df: DataFrame, key: str, text: str, vocabulary: str, chunk: in
 
     small = narrow.filter(short).mapInArrow(encode, f"_key {kind}, ids array<int>")
 
+    def chunks(batches):
+        for batch in batches:
+            for key_, copy, t in zip(*(batch.column(c) for c in ("_key", "copy", "_text"))):
+                t = t.as_py()
+                spans = chunk_spans(len(t), chunk, overlap)
+                # Few chunks at a time, so a long text is not held twice.
+                for at in range(0, len(spans), 64):
+                    some = spans[at : at + 64]
+                    fields = [pa.array(range(at, at + len(some)), pa.int32()), pa.array([s for s, _ in some], pa.int64()), pa.array([t[s:e] for s, e in some], pa.string())]
+                    yield pa.RecordBatch.from_arrays([pa.array([key_.as_py()] * len(some), key_.type), pa.array([copy.as_py()] * len(some), pa.int64()), *fields],
+                                                     names=["_key", "copy", "i", "start", "part"])
+
     def pre_tokenise(batches):
         for batch in batches:
             head, tail = [], []
-            for s, e, part in zip(*(batch.column(c).to_pylist() for c in ("start", "end", "part"))):
+            for s, part in zip(batch.column("start").to_pylist(), batch.column("part").to_pylist()):
+                e = s + len(part)
                 marks = [s + m for m in boundaries(part)]
                 head.append([m for m in marks if m < s + overlap])
-                # A piece must not end in white space: where a run of it is split depends on what follows.
-                tail.append([m for m in marks if m >= e - overlap and m > s and not part[m - s - 1].isspace()])
-            columns = [batch.column(c) for c in ("_doc", "i", "start", "end")]
-            yield pa.RecordBatch.from_arrays([*columns, _list_array(head), _list_array(tail)], names=["_doc", "i", "start", "end", "head", "tail"])
-
-    def stitch(frame):
-        import pandas as pd
-
-        frame = frame.sort_values("i").drop_duplicates("i")
-        spans = list(zip(frame["start"].tolist(), frame["end"].tolist()))
-        begin = [0]
-        for (_, end), left, right in zip(spans, frame["tail"].tolist(), frame["head"].tolist()[1:]):
-            begin += cuts([(0, end), (0, 0)], [list(left), list(right)])[1:]
-        ends = [*begin[1:], spans[-1][1]]
-        return pd.DataFrame({"_doc": frame["_doc"].iloc[0], "piece": range(len(begin)), "begin": begin, "stop": ends})
+                # A piece must not end in white space: where a run of it is split depends on what follows. The last
+                # boundary is not trusted, as the end of the chunk may have made it.
+                tail.append([m for m in marks[:-1] if e - overlap <= m < e - 1 and m > s and not part[m - s - 1].isspace()])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_key", "copy", "i", "start", "part")), _list_array(head), _list_array(tail)],
+                                             names=["_key", "copy", "i", "start", "part", "head", "tail"])
 
     def encode_pieces(batches):
         enc = encoder(vocabulary)
         for batch in batches:
             ids = [enc.encode_ordinary(t) for t in batch.column("part").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_key", "_doc", "copy", "piece")), _list_array(ids)], names=["_key", "_doc", "copy", "piece", "ids"])
-
-    long_ = narrow.filter(~short)
-    named = long_.select("_key", "_text", F.md5(F.concat_ws("|", F.col("_key").cast("string"), F.md5("_text"))).alias("_doc"), F.monotonically_increasing_id().alias("copy"))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_key", "copy", "piece")), _list_array(ids)], names=["_key", "copy", "piece", "ids"])
 
-    def named_chunks(batches):
-        for batch in batches:
-            rows = {"_doc": [], "i": [], "start": [], "end": [], "part": []}
-            for doc, t in zip(batch.column("_doc").to_pylist(), batch.column("_text").to_pylist()):
-                for i, (s, e) in enumerate(chunk_spans(len(t), chunk, overlap)):
-                    for name, v in zip(rows, (doc, i, s, e, t[s:e])):
-                        rows[name].append(v)
-            yield pa.RecordBatch.from_pydict(rows, schema=_CHUNK_SCHEMA)
-
-    parts = named.select("_doc", "_text").mapInArrow(named_chunks, "_doc string, i int, start int, end int, part string")
     width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    marked = parts.repartition(width, "_doc", "i").mapInArrow(pre_tokenise, "_doc string, i int, start int, end int, head array<int>, tail array<int>")
-    # Only boundaries inside overlaps meet here, a few hundred numbers per chunk of one text.
-    pieces = marked.groupBy("_doc").applyInPandas(stitch, "_doc string, piece int, begin int, stop int")
-    cut_up = named.join(pieces, "_doc").select("_key", "_doc", "copy", "piece", F.substring(F.col("_text"), F.col("begin") + 1, F.col("stop") - F.col("begin")).alias("part"))
-    encoded = cut_up.repartition(width, "_doc", "copy", "piece").mapInArrow(encode_pieces, f"_key {kind}, _doc string, copy bigint, piece int, ids array<int>")
-    joined = encoded.groupBy("_key", "_doc", "copy").agg(F.array_sort(F.collect_list(F.struct("piece", "ids"))).alias("p"))
+    named = narrow.filter(~short).withColumn("copy", F.monotonically_increasing_id())
+    parts = named.mapInArrow(chunks, f"_key {kind}, copy bigint, i int, start bigint, part string")
+    marked = parts.repartition(width, "copy", "i").mapInArrow(pre_tokenise, f"_key {kind}, copy bigint, i int, start bigint, part string, head array<int>, tail array<int>")
+    # Only neighbours meet: a chunk ends where the next one and itself see the same boundary first.
+    follows = W.partitionBy("copy").orderBy("i")
+    stop = F.array_min(F.array_intersect("tail", F.lead("head").over(follows)))
+    stitched = marked.select("_key", "copy", "i", "start", "part", stop.alias("stop"), F.lead("start").over(follows).alias("next"))
+    begun = stitched.withColumn("begin", F.lag("stop").over(follows))
+    piece = F.sum(F.when(F.col("begin").isNull(), 0).otherwise(1)).over(follows)
+    first, last = F.coalesce("begin", "start"), F.coalesce("stop", "next", F.col("start") + F.length("part"))
+    own = F.substring(F.col("part"), (first - F.col("start") + 1).cast("int"), (last - first).cast("int"))
+    cut_up = begun.select("_key", "copy", "i", piece.alias("piece"), own.alias("part"))
+    # Neighbours without a common boundary are one piece: one run of characters as long as the overlap joins them.
+    whole = cut_up.groupBy("_key", "copy", "piece").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "part"))), lambda x: x["part"]), "").alias("part"))
+    encoded = whole.repartition(width, "copy", "piece").mapInArrow(encode_pieces, f"_key {kind}, copy bigint, piece bigint, ids array<int>")
+    joined = encoded.groupBy("_key", "copy").agg(F.array_sort(F.collect_list(F.struct("piece", "ids"))).alias("p"))
     large = joined.select("_key", F.flatten(F.col("p.ids")).alias("ids"))
     return small.unionByName(large).select(F.col("_key").alias(key), "ids")
 
 
-_CHUNK_SCHEMA = pa.schema([("_doc", pa.string()), ("i", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("part", pa.string())])
-
-
 def count_column(df: DataFrame, text: str, vocabulary: str, carried: list[str]) -> DataFrame:
     """``carried`` columns and ``n_tokens`` of every row; 0 for null and empty texts."""
     fields = [f for f in df.select(*carried).schema.fields]

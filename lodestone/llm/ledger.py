@@ -7,38 +7,43 @@ labelled fields do not matter, and title and text may be exchanged.
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.normal import REMOVAL_MARKS, letters
-from ..runtime import cut, delete_path, key128, shared_dir, skew_join, table
+from ..runtime import cut, delete_path, drop, key128, names_in, read_text, scratch_path, skew_join, table, write_text
 
 #: A field starts the text or follows one of these separators.
 _START = r"(?:^|[\n;|/])[\s\p{Z}\p{Cf}\-*•>]*"
-LABEL_SHARE, MOST_LABELS, LEAST_FIELDS = 0.005, 200, 3
+_LABEL = r"\p{L}[\p{L} ]{1,39}?"
+LABEL_SHARE = 0.005
+NO_ROW = 2**63 - 1
 
 
 def learn_labels(rows: DataFrame, share: float = LABEL_SHARE) -> list[str]:
     """The field labels of a corpus: what stands before a colon at field starts in many rows.
 
     Counted over all rows. A label needs ``share`` of the rows (at least three of them), so
-    that at most ``1 / share`` times the labels of one row can be kept; the list is
-    also cut at ``MOST_LABELS``. An empty table has no labels.
+    that at most ``1 / share`` times the mean number of labels in a row can be kept.
+    An empty table has no labels.
     """
-    found = F.regexp_extract_all("text", F.lit(rf"{_START}([A-Za-z][A-Za-z ]{{1,24}}?)[ ]?:"), F.lit(1))
+    found = F.regexp_extract_all("text", F.lit(rf"{_START}({_LABEL})[ ]?:"), F.lit(1))
     counted = rows.select(F.explode(F.array_distinct(found)).alias("label")).groupBy(F.lower("label").alias("label")).count()
     n = rows.count()
-    kept = counted.filter(F.col("count") >= max(3, share * n)).orderBy(F.desc("count"), "label").limit(MOST_LABELS).collect()
+    kept = counted.filter(F.col("count") >= max(3, share * n)).collect()
     return sorted(r["label"] for r in kept)
 
 
 def content(c: Column, labels: list[str]) -> Column:
     """Letters and digits of a text; the fields of a text with labelled fields are sorted.
 
-    A text with three or more of the labels is searched for field starts; for all
+    A text with two or more of the labels is searched for field starts; for all
     others one replacement is enough.
     """
     plain = letters(c)
@@ -51,8 +56,10 @@ def content(c: Column, labels: list[str]) -> Column:
     start = rf"{_START}(?=[{heads}])(?=(?:{either})\b)"
     parts = F.split(F.regexp_replace(low, start, "\u0001"), "\u0001")
     fields = F.array_sort(F.filter(F.transform(parts, letters), lambda x: x != ""))
-    present = sum(F.contains(low, F.lit(x)).cast("int") for x in sorted({x.split()[0] for x in labels}))
-    return F.when((present >= LEAST_FIELDS) & (F.size(parts) > LEAST_FIELDS), F.array_join(fields, "\u0001")).otherwise(plain)
+    firsts = sorted({x.split()[0] for x in labels})
+    present = sum(F.contains(low, F.lit(x)).cast("int") for x in firsts)
+    several = (present >= 2) | F.lit(len(firsts) < len(labels)) & (present >= 1)
+    return F.when(several & (F.size(parts) > 2), F.array_join(fields, "\u0001")).otherwise(plain)
 
 
 def content_keys(rows: DataFrame, labels: list[str], extra: tuple = ()) -> DataFrame:
@@ -71,54 +78,116 @@ def content_keys(rows: DataFrame, labels: list[str], extra: tuple = ()) -> DataF
 
 
 class Ledger:
-    """Counts of every content seen so far, in buckets of the key.
-
-    A batch is aggregated, and full-outer-joined with the buckets of the ledger
-    on its bucketed key, so the ledger itself is not shuffled. Counts add up; the
-    smallest row_id stays as representative. Applying a batch twice counts its
-    rows twice: batches are the unit of bookkeeping. An empty batch changes
-    nothing. ``labels`` belong to the ledger, since keys depend on them.
+    """Counts of every content seen so far, in buckets of the key, at ``path``.
+
+    A batch is aggregated and placed by bucket; then each of its buckets is
+    full-outer-joined with the same bucket of the ledger, which the task reads where it stands. Buckets
+    that the batch does not touch are neither read nor written, and the ledger is
+    never shuffled. Counts add up; the smallest row_id stays as representative. A
+    version becomes visible with its manifest, so a broken batch leaves the last one as it was; what a version
+    replaces is deleted when the next but one is complete. A batch that
+    is given a name is booked once, however often it is applied. An empty batch changes nothing.
+
+    ``labels`` belong to the ledger, since keys depend on them: they are kept with it, and opening it
+    again takes them from there. ``buckets`` is fixed when the ledger is made; a bucket should fit
+    into the memory of a task (a million contents take 32 MB). One writer at a time: a second one fails when it
+    commits the same version. Keys of null are the caller's to leave out; a null row_id counts as a copy and is
+    no representative.
     """
 
-    def __init__(self, spark: SparkSession, labels: list[str], buckets: int = 12):
-        self.spark, self.labels, self.buckets = spark, labels, buckets
-        self.name, self.version, self.table, self.path = f"ledger_{uuid.uuid4().hex[:12]}", 0, None, None
+    def __init__(self, spark: SparkSession, path: str, labels: list[str] | None = None, buckets: int = 12):
+        self.spark, self.path = spark, path.rstrip("/")
+        kept = [x for x in names_in(spark, self.path) if re.fullmatch(r"manifest-\d+\.json", x)]
+        if kept:
+            self.state = json.loads(read_text(spark, f"{self.path}/{kept[-1]}"))
+        else:
+            self.state = {"version": 0, "labels": labels or [], "buckets": buckets, "at": {}, "batches": [], "stale": []}
+
+    @property
+    def labels(self) -> list[str]:
+        return self.state["labels"]
 
-    def apply(self, keys: DataFrame) -> None:
+    def apply(self, keys: DataFrame, batch: str | None = None) -> None:
         """Book the rows of one batch, given as their ``content_keys``."""
-        new = keys.groupBy("key_hi", "key_lo").agg(F.count(F.lit(1)).alias("n_new"), F.min("row_id").alias("f_new"))
-        if self.table:
-            old = self.spark.table(self.table)
-            both = old.join(new, ["key_hi", "key_lo"], "full_outer")
-            merged = both.select(
-                "key_hi", "key_lo",
-                (F.coalesce("copies", F.lit(0)) + F.coalesce("n_new", F.lit(0))).alias("copies"),
-                F.least("first_row_id", "f_new").alias("first_row_id"),
-            )
-        else:
-            merged = new.select("key_hi", "key_lo", F.col("n_new").alias("copies"), F.col("f_new").alias("first_row_id"))
-        self.version += 1
-        name, before, old_path = f"{self.name}_v{self.version}", self.table, self.path
-        self.path = f"{shared_dir(self.spark)}/lodestone/{name}"
-        merged.repartition(self.buckets, "key_hi", "key_lo").write.bucketBy(self.buckets, "key_hi", "key_lo").option(
-            "path", self.path
-        ).saveAsTable(name)
-        self.table = name
-        if before:
-            self.spark.sql(f"drop table {before}")
-            delete_path(self.spark, old_path)
+        state, path = self.state, self.path
+        if batch is not None and batch in state["batches"]:
+            return
+        buckets, at, version = state["buckets"], dict(state["at"]), state["version"] + 1
+        folder = f"{version:06d}-{uuid.uuid4().hex[:8]}"
+        new = keys.groupBy("key_hi", "key_lo").agg(F.count(F.lit(1)).alias("copies"), F.coalesce(F.min("row_id"), F.lit(NO_ROW)).alias("first_row_id"))
+        new = cut(new.select(F.pmod("key_hi", F.lit(buckets)).cast("int").alias("bucket"), "*"), "ledger-batch")
+        # At most as many numbers as there are buckets.
+        touched = [str(r[0]) for r in new.select("bucket").distinct().collect()]
+        if touched:
+            width = min(buckets, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+            placed = new.repartition(width, "bucket").sortWithinPartitions("bucket")
+            merged = placed.mapInArrow(lambda batches: _merge(batches, path, at), f"bucket int, {_ENTRY}")
+            merged.write.partitionBy("bucket").parquet(f"{path}/v={folder}")
+        drop(new)
+        stale = [f"v={at[b]}/bucket={b}" for b in touched if b in at]
+        following = {**state, "version": version, "at": {**at, **{b: folder for b in touched}}, "stale": stale, "batches": state["batches"] + [batch] * (batch is not None)}
+        write_text(self.spark, f"{path}/manifest-{version:012d}.json", json.dumps(following))
+        for old in state["stale"]:
+            delete_path(self.spark, f"{path}/{old}")
+        self.state = following
 
     def contents(self) -> DataFrame:
         """``(key_hi, key_lo, copies, first_row_id)``."""
-        return self.spark.table(self.table)
+        paths = [f"{self.path}/v={v}/bucket={b}" for b, v in sorted(self.state["at"].items())]
+        if not paths:
+            return self.spark.createDataFrame([], _ENTRY)
+        found = self.spark.read.schema(_ENTRY).parquet(*paths)
+        return found.withColumn("first_row_id", F.nullif("first_row_id", F.lit(NO_ROW)))
+
+
+_ENTRY = "key_hi bigint, key_lo bigint, copies bigint, first_row_id bigint"
+_FIELDS = ("key_hi", "key_lo", "copies", "first_row_id")
+
+
+def _merge(batches, path: str, at: dict):
+    """The buckets of one task: each joined with its present state, read from the shared folder."""
+    import pyarrow.dataset as ds
+    from pyarrow import fs
+
+    def joined(bucket: int, parts: list):
+        columns = [np.concatenate([p[k] for p in parts]) for k in range(4)]
+        version = at.get(str(bucket))
+        if version is not None:
+            system, root = fs.FileSystem.from_uri(f"{path}/v={version}/bucket={bucket}")
+            old = ds.dataset(root, filesystem=system, format="parquet").to_table(columns=list(_FIELDS))
+            columns = [np.concatenate([x, old.column(f).to_numpy()]) for f, x in zip(_FIELDS, columns)]
+        order = np.lexsort((columns[1], columns[0]))
+        hi, lo, copies, first = (x[order] for x in columns)
+        edge = np.ones(len(hi), bool)
+        edge[1:] = (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])
+        start = np.nonzero(edge)[0]
+        out = [np.full(len(start), bucket, np.int32), hi[start], lo[start], np.add.reduceat(copies, start), np.minimum.reduceat(first, start)]
+        whole = pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["bucket", *_FIELDS])
+        for s in range(0, whole.num_rows, 65_536):
+            yield whole.slice(s, 65_536)
+
+    held, bucket = [], None
+    for batch in batches:
+        numbers = batch.column("bucket").to_numpy()
+        columns = [batch.column(f).to_numpy() for f in _FIELDS]
+        for b in np.unique(numbers).tolist():
+            if bucket is not None and b != bucket:
+                yield from joined(bucket, held)
+                held = []
+            bucket = b
+            mine = numbers == b
+            held.append([x[mine] for x in columns])
+    if held:
+        yield from joined(bucket, held)
 
 
 def booked(spark: SparkSession, rows: DataFrame, batch: str = "batch_id", slices: int = 3, extra: tuple = ()) -> tuple[DataFrame, Ledger]:
-    """Book ``rows`` in slices of arriving batches. Returns their keys and the ledger."""
+    """Book ``rows`` into a ledger of their own, in slices of arriving batches. Returns their keys and the ledger."""
     labels = learn_labels(rows)
     keys = cut(content_keys(rows, labels, (batch, *extra)), "content-keys").filter("key_hi is not null")
-    low, high = keys.agg(F.min(batch), F.max(batch)).first()
-    ledger = Ledger(spark, labels, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    low, high, n = keys.agg(F.min(batch), F.max(batch), F.count(F.lit(1))).first()
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 1_000_000)
+    ledger = Ledger(spark, scratch_path(spark, "ledger"), labels, buckets)
     low, high = (0, 0) if low is None else (low, high)
     edges = [low + (high - low) * i // slices for i in range(1, slices)]
     bounds = [None, *sorted(set(edges)), None]
@@ -129,7 +198,7 @@ def booked(spark: SparkSession, rows: DataFrame, batch: str = "batch_id", slices
             part = part.filter(number > start)
         if end is not None:
             part = part.filter(number <= end)
-        ledger.apply(part)
+        ledger.apply(part, f"{start}..{end}")
     return keys, ledger
 
 
@@ -162,14 +231,14 @@ def _plain_sql(c: str) -> str:
 def _content_sql(c: str) -> str:
     parts = rf"string_split(regexp_replace(lower({c}), '{_START_SQL}\b(' || either || ')\b', chr(1) || '\1', 'g'), chr(1))"
     fields = f"list_sort(list_filter(list_transform({parts}, lambda x: {_plain_sql('x')}), lambda x: x <> ''))"
-    many = f"len(list_filter(heads, lambda h: contains(lower({c}), h))) >= 3 and len({parts}) > 3"
+    many = f"len(list_filter(heads, lambda h: contains(lower({c}), h))) >= case when len(heads) < n_labels then 1 else 2 end and len({parts}) > 2"
     return f"case when either is not null and {many} then array_to_string({fields}, chr(1)) else {_plain_sql(c)} end"
 
 
 CONTENTS_SQL = rf"""
-starts as (select unnest(list_distinct(regexp_extract_all(text, '{_START_SQL}([A-Za-z][A-Za-z ]{{1,24}}?)[ ]?:', 1))) as label from evidence_sample),
+starts as (select unnest(list_distinct(regexp_extract_all(text, '{_START_SQL}(\p{{L}}[\p{{L}} ]{{1,39}}?)[ ]?:', 1))) as label from evidence_sample),
 labels as (select lower(label) as label from starts group by 1 having count(*) >= greatest(3, 0.005 * (select count(*) from evidence_sample))),
-l as (select string_agg(replace(label, ' ', '{_BLANK}+'), '|' order by length(label) desc, label) as either, list_distinct(list(split_part(label, ' ', 1))) as heads from labels),
+l as (select string_agg(replace(label, ' ', '{_BLANK}+'), '|' order by length(label) desc, label) as either, list_distinct(list(split_part(label, ' ', 1))) as heads, count(*) as n_labels from labels),
 t as (select row_id, coalesce({_content_sql('title')}, '') as a, {_content_sql('text')} as b from evidence_sample, l),
 contents as (select row_id, least(a, b) || chr(2) || greatest(a, b) as k from t where b is not null and b not in ('', 'removed', 'deleted', 'removedbymoderator', 'deletedbyuser')),
 firsts as (select row_id, min(row_id) over (partition by k) as first_row_id, count(*) over (partition by k) as copies from contents)"""

@@ -10,7 +10,7 @@ from ..runtime import cut, table
 from .encoding import TOKENIZERS, VOCABULARY, count_column
 
 
-def queued(sized: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+def queued(sized: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = 7, scarce: str = "stop") -> tuple[DataFrame, DataFrame]:
     """Mix ``(doc_id, source, n_tokens)`` to the shares of ``(source, target_share, repeat_cap)``.
 
     Every document of a source gets a place in a shuffled order that depends on
@@ -22,7 +22,10 @@ def queued(sized: DataFrame, targets: DataFrame, budget: int | None = None, seed
     documents gets nothing and an unlisted or null source takes no part, nor do
     documents without tokens. ``budget`` in tokens is by default the largest at which
     no source runs out of its allowed uses, so the shares hold to within one document a
-    source. With a larger one, sources stop at their caps and the shares reached show it. Rows that repeat a doc_id are documents of their own.
+    source; one scarce source then bounds the whole mixture. With a larger one, scarce sources stop at their caps
+    and the shares reached show it: with ``scarce="stop"`` the others keep to their part of the budget, which is
+    not used up; with ``scarce="fill"`` the queue is served on until the total reaches the budget, the
+    others sharing by their weights what the scarce ones leave. Rows that repeat a doc_id are documents of their own.
 
     Returns the uses ``(doc_id, source, use, n_tokens, finish)`` and, per listed
     source, the report ``(source, target_share, weight, documents, tokens, uses,
@@ -47,6 +50,7 @@ def queued(sized: DataFrame, targets: DataFrame, budget: int | None = None, seed
     weight = {s: r["target_share"] / scale for s, r in filled.items()}
     most = min((int(r["tokens"] * r["repeat_cap"] / weight[s]) for s, r in filled.items()), default=0)
     budget = most if budget is None else budget
+    clock = float(budget) if scarce == "stop" else _served_until(budget, {s: (weight[s], int(r["tokens"]) * int(r["repeat_cap"])) for s, r in filled.items()})
     shares = spark.createDataFrame(
         [(s, float(r["target_share"]), weight.get(s, 0.0), int(r["tokens"] or 0), int(r["documents"] or 0), int(r["repeat_cap"])) for s, r in sorted(plan.items())],
         "source string, target_share double, weight double, source_tokens bigint, documents bigint, repeat_cap int",
@@ -57,7 +61,7 @@ def queued(sized: DataFrame, targets: DataFrame, budget: int | None = None, seed
     # The offsets meet the rows where the window has put them; one row per listed source is broadcast.
     ranked = rows.withColumn("run", F.sum("n_tokens").over(inside)).join(offsets.hint("merge"), ["source", "slice"]).join(F.broadcast(shares), "source")
     done = (F.col("before") + F.col("run")).cast("bigint")
-    allowed = F.floor(F.lit(budget) * F.col("weight") + 1e-6).cast("bigint")
+    allowed = F.floor(F.lit(clock) * F.col("weight") + 1e-6).cast("bigint")
     last_use = F.least(F.col("repeat_cap").cast("bigint") - 1, F.call_function("div", allowed - done, F.col("source_tokens")))
     uses = ranked.filter(done <= allowed).select(
         "doc_id", "source", "n_tokens", "source_tokens", "weight", done.alias("done"), F.explode(F.sequence(F.lit(0).cast("bigint"), last_use)).alias("lap")
@@ -76,6 +80,16 @@ def queued(sized: DataFrame, targets: DataFrame, budget: int | None = None, seed
     return mixture.orderBy("finish", "source", "doc_id"), report
 
 
+def _served_until(budget: int, sources: dict[str, tuple[float, int]]) -> float:
+    """The virtual time by which the queue has served ``budget`` tokens, each source ``(weight, most tokens)`` up to its most."""
+    served, before, open_ = 0.0, 0.0, sum(w for w, _ in sources.values())
+    for ends, w in sorted((most / w, w) for w, most in sources.values()):
+        if served + open_ * (ends - before) >= budget:
+            break
+        served, before, open_ = served + open_ * (ends - before), ends, open_ - w
+    return before + max(0.0, budget - served) / open_ if open_ > 1e-12 else before
+
+
 def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_column(table(spark, sf_dir, "documents"), "text", f"{TOKENIZERS}/{VOCABULARY}", ["doc_id", "source"])
 
@@ -90,5 +104,12 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queued(_sized(spark, sf_dir), table(spark, sf_dir, "mix_target"))[1]
 
 
-QUERIES = {"p9_mixture": p9_mixture, "p9_shares": p9_shares}
+def p9_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares of a mixture of half as many tokens as all documents have, with scarce sources at their caps."""
+    sized = cut(_sized(spark, sf_dir), "sized")
+    budget = (sized.agg(F.sum("n_tokens")).first()[0] or 0) // 2
+    return queued(sized, table(spark, sf_dir, "mix_target"), budget, scarce="fill")[1]
+
+
+QUERIES = {"p9_mixture": p9_mixture, "p9_shares": p9_shares, "p9_filled": p9_filled}
 ORACLES: dict[str, str] = {}
