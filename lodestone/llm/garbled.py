@@ -7,7 +7,9 @@ only the matched spans are replaced, so sound text beside them stays as it is.
 
 from __future__ import annotations
 
+import html
 import re
+import unicodedata
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +22,14 @@ MISTAKEN = ("cp1252", "latin-1", "cp437", "cp850", "mac_roman", "cp1251")
 #: (intended, mistaken) pairs of one-byte encodings.
 SWAPPED = (("cp1252", "cp437"), ("cp1252", "cp850"), ("cp1252", "mac_roman"), ("mac_roman", "cp1252"), ("cp437", "cp1252"), ("cp850", "cp1252"))
 LOST = "�"
+#: Where characters that are no letters stand in sound text, by what they are; X is how the character is seen.
+CONTEXTS = {
+    "«“‘": r"(?<!\S)X(?=\w)", "»”": r"(?<=[\w.,!?…])X(?!\w)", "¿¡": r"(?<!\S)X(?=\w)", "°": r"(?<=\d)X(?=[CF]\b|\s|$)", "±": r"(?<=[\dCF\s])X(?=\s?\d)",
+    "¼½¾": r"(?<!\S)X(?=\s)", "ºª": r"(?<=\d)X(?!\w)", "€£": r"(?<=\d )X(?!\w)|(?<!\S)X(?=\d)", "–—": r"(?<= )X(?= )", "…": r"(?<=\w)X(?!\w)",
+}
+# What follows a one-letter word with an accent in French, Portuguese, Spanish and Italian.
+AFTER_ONE = "la le les l un une des du de ce cette mon ma mes son sa ses notre nos votre vos leur leurs o a os as um uma muito que el los las il lo gli".split()
+_REFERENCE = re.compile(r"&(?:#[0-9]{2,7}|#[xX][0-9a-fA-F]{2,6}|[A-Za-z]{2,8}[0-9]?);")
 _QUOTES = {"“": "”", '"': '"', "«": "»", "„": "“", "‘": "’", "`": "`", "'": "'"}
 
 
@@ -92,7 +102,7 @@ class Mender:
             self.automaton.add_word(form, len(form))
         self.automaton.make_automaton()
         heads = {f[0] for f in self.forms}
-        self.suspects = re.compile("[" + re.escape("".join(sorted(heads | set(self.swaps) | set("╗░▒╜") | {LOST}))) + "]")
+        self.suspects = re.compile("[" + re.escape("".join(sorted(heads | set(self.swaps) | set(map(chr, range(0x2500, 0x25A0))) | {LOST}))) + "]")
         # A wrong character inside a word of Latin letters. Letters that words of these languages have there are no sign.
         natural = set("àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœ’‘“”„‚‹›'·-–—…°ªºˆ")
         odd = "".join(sorted(c for c in self.swaps if c not in natural))
@@ -101,15 +111,63 @@ class Mender:
         latin = "A-Za-zÀ-ÖØ-öø-ÿ"
         self.word = re.compile(f"[{latin}{re.escape(''.join(sorted(self.swaps)))}]+")
         self.odd = set(odd)
-        self.oddity = re.compile("[" + re.escape(odd + "╗░▒╜αφ∙") + "]|(?<=[a-z])[" + "".join(sorted(self.marks)) + "](?=[a-z])")
+        lower = "a-zß-öø-ÿ"
+        alone = "".join(map(chr, range(0x2550, 0x25A0))) + "αβγδεφπστ∙∞≈≡√"
+        self.oddity = re.compile(f"(?<=[{lower}])[{re.escape(odd)}]|[{re.escape(odd)}](?=[{lower}])|[{alone}]|(?<=[a-z])[{''.join(sorted(self.marks))}](?=[a-z])")
         self.latin = re.compile(f"[{latin}]")
         self.strong = {c for c in self.odd if ord(c) >= 0x370 and ord(c) < 0x2000 or 0x2190 <= ord(c) < 0x25FF or c == "ⁿ"}
-        # Signs of a one-byte swap to a line-drawing code page outside words, and what else that swap has done to a text that shows them.
-        self.signs = re.compile(r"½(?=[A-Za-z]+╗)|(?<=[A-Za-z])╗(?![─-╿])|(?<=\d)░(?=[CF\s])|(?<=[\dCF] )▒(?= \d)|(?<=\s)╜(?=\s[a-z])|(?<!\w)α(?= la\b)|(?<=[a-z][a-z])φ(?!\w)|(?<=\b[Oo])∙(?=\s)")
-        self.beside_signs = re.compile(r"┐(?=[A-Za-zÀ-ÿ])|(?<!\w)·(?=[a-z]{2})|í(?=[A-ZÀ-Ý])")
+        self._learn_signs()
         self.run = re.compile(r"[^\x00-\x7f]{4,}")
         self.old_cyrillic = re.compile(r"(?<![A-Za-z])[à-ÿÀ-Ö]{4,}(?![A-Za-z])")
 
+    def _learn_signs(self) -> None:
+        """What tells a one-byte swap outside words: characters that sound text does not have where others belong.
+
+        For each pair of encodings the places of quotes, signs and one-letter words are taken from what
+        the character was. Box drawing, blocks and Greek letters there are a sign by themselves, if no other of their kind is
+        near; the other characters of the same pair count beside such a sign.
+        """
+        self.signs, self.beside, self.strange = {}, {}, {}
+        for right, wrong in SWAPPED:
+            strange, usual, chars_ = [], [], set()
+            for code in range(0x80, 0x100):
+                try:
+                    was = bytes([code]).decode(right)
+                except UnicodeDecodeError:
+                    continue
+                seen = _misread(bytes([code]), wrong)
+                if not seen or seen == was or seen.isascii():
+                    continue
+                x = re.escape(seen)
+                before = len(strange)
+                boxes = "─" <= seen <= "▟"
+                greek = "Ͱ" <= seen <= "Ͽ" or unicodedata.category(seen) == "Sm" and seen not in "±×÷¬"
+                for chars, place in CONTEXTS.items():
+                    if was in chars:
+                        (strange if boxes else usual).append(rf"(?<![─-▟]){place.replace('X', x)}(?![─-▟])" if boxes else place.replace("X", x))
+                if was.isalpha() and was.islower() and greek:
+                    strange += [rf"(?<=[a-z][a-z]){x}(?![\w])", rf"(?<!\w){x}(?= (?:{'|'.join(AFTER_ONE)})\b)", *([rf"(?<=[A-Za-z]){x}(?=\s)"] if not seen.isalpha() else [])]
+                elif was.isalpha() and was.islower() and not seen.isalpha():
+                    usual.append(rf"(?<!\w){x}(?=[a-z]{{2}})")
+                if len(strange) > before:
+                    chars_.add(seen)
+            self.strange[right, wrong] = re.compile("[" + re.escape("".join(sorted(chars_))) + "]") if chars_ else None
+            self.signs[right, wrong] = re.compile("|".join(strange)) if strange else None
+            self.beside[right, wrong] = re.compile("|".join(strange + usual)) if strange else None
+
+    def _signs(self, text: str, pair: tuple, beside: bool = False) -> list[tuple[int, int, str, str]]:
+        right, wrong = pair
+        rx = (self.beside if beside else self.signs)[pair]
+        if not rx or not self.strange[pair].search(text):
+            return []
+        out = []
+        for m in rx.finditer(text):
+            try:
+                out.append((m.start(), m.end(), m.group().encode(wrong).decode(right), f"{right} as {wrong}"))
+            except UnicodeError:
+                pass
+        return out
+
     def spans(self, text: str) -> list[tuple[int, int, str, str]]:
         """Garbled spans ``(start, end, original, kind)`` in order, longest forms first."""
         found = []
@@ -180,10 +238,9 @@ class Mender:
                     if letter.islower():
                         votes.setdefault(kind, []).append(m.start())
                         usual[kind] = usual.get(kind, 0) + (word[i + 1 : i + 2] == "o" if letter == "ã" else word[i + 1 : i + 2] == "e" if letter == "õ" else letter in "äöüßéèêàçñáíóú" and letter + word[i + 1 : i + 2] != "äo")
-        drawn = SWAPPED[0][1]
-        signs = [(m.start(), m.end(), m.group().encode(drawn).decode("cp1252"), f"cp1252 as {drawn}") for m in self.signs.finditer(text)]
         if not votes or not strong and max(map(len, votes.values())) < 2:
-            return signs
+            best = max(SWAPPED, key=lambda pair: len(self._signs(text, pair)))
+            return self._signs(text, best, True) if self._signs(text, best) else []
         kind = max(votes, key=lambda k: (len(votes[k]), usual[k], -[f"{a} as {b}" for a, b in SWAPPED].index(k)))
         back = {seen: letter for seen, pairs in self.swaps.items() for letter, k in pairs if k == kind}
         starts = set(votes[kind])
@@ -196,11 +253,9 @@ class Mender:
                 mended = "".join(back.get(c, c) for c in word)
                 if mended != word:
                     out.append((m.start(), m.end(), mended, kind))
-        if kind == f"cp1252 as {drawn}":
-            more = [(m.start(), m.end(), m.group().encode(drawn).decode("cp1252"), kind) for m in self.beside_signs.finditer(text)]
-            out += [x for x in [*signs, *more] if not any(a < x[1] and x[0] < b for a, b, *_ in out)]
-            out.sort()
-        return out
+        pair = next(p for p in SWAPPED if kind == f"{p[0]} as {p[1]}")
+        out += [x for x in self._signs(text, pair, bool(self._signs(text, pair))) if not any(a < x[1] and x[0] < b for a, b, *_ in out)]
+        return sorted(out)
 
     def _misplaced(self, word: str, i: int) -> bool:
         """Whether sound words cannot have such a character there: one is evidence then."""
@@ -222,8 +277,36 @@ class Mender:
             right += 1
         return text[right : right + 1] == closing
 
+    def _unescaped(self, text: str) -> tuple | None:
+        """Text whose garbled characters were written as character references; None if it has no such."""
+        pieces, origin, at, size = [], {}, 0, 0
+        for m in _REFERENCE.finditer(text):
+            char = html.unescape(m.group())
+            if len(char) != 1 or char.isascii():
+                continue
+            pieces += [text[at : m.start()], char]
+            size += m.start() - at
+            origin[size] = m.group()
+            size += 1
+            at = m.end()
+        if not origin:
+            return None
+        plain = "".join([*pieces, text[at:]])
+        spans = [x for x in self.spans(plain) if not self.quoted(plain, x[0], x[1])]
+        if not any(k in origin for s, e, *_ in spans for k in range(s, e)):
+            return None
+        out, at = [], 0
+        for s, e, original, _ in [*spans, (len(plain), len(plain), "", "")]:
+            out += [origin.get(k, plain[k]) for k in range(at, s)] if any(at <= k < s for k in origin) else [plain[at:s]]
+            out.append(original)
+            at = e
+        kinds = [k for *_, k in spans]
+        return True, "".join(out), len(spans) + plain.count(LOST), max(sorted(set(kinds)), key=kinds.count) + ", as references", LOST not in plain
+
     def mend(self, text: str | None) -> tuple[bool, str | None, int, str | None, bool]:
         """(garbled, restored text, spans, kind, whole): whole says that nothing was lost."""
+        if text and "&" in text and (read := self._unescaped(text)):
+            return read
         if not text or text.isascii() or not self.suspects.search(text):
             return False, text, 0, None, True
         lost = text.count(LOST)

@@ -546,6 +546,12 @@ def test_sound_text_stays(text):
     assert MENDER.mend(text) == (False, text, 0, None, True)
 
 
+def test_garbled_references():
+    seen = "".join(f"&#{ord(c)};" if ord(c) > 127 else c for c in "Könnte it’s 30 °C".encode().decode("cp1252"))
+    assert MENDER.mend(f"{seen} &#228; &amp; &eacute;")[:2] == (True, "Könnte it’s 30 °C &#228; &amp; &eacute;")
+    assert MENDER.mend("K&#246;nnte &lt;b&gt; &Atilde; 5 &#176;C") == (False, "K&#246;nnte &lt;b&gt; &Atilde; 5 &#176;C", 0, None, True)
+
+
 def test_lost_bytes():
     found, back, _, kind, whole = MENDER.mend("Qu� desastre")
     assert found and not whole and kind == "undecodable bytes"
