@@ -44,7 +44,8 @@ def content(c: Column, labels: list[str]) -> Column:
     """Letters and digits of a text; the fields of a text with labelled fields are sorted.
 
     A text with two or more of the labels is searched for field starts; for all
-    others one replacement is enough.
+    others one replacement is enough. Two fields suffice where the text begins with one; elsewhere it takes three, since
+    prose that is broken into lines may have a label word at the start of a line.
     """
     plain = letters(c)
     if not labels:
@@ -58,8 +59,9 @@ def content(c: Column, labels: list[str]) -> Column:
     fields = F.array_sort(F.filter(F.transform(parts, letters), lambda x: x != ""))
     firsts = sorted({x.split()[0] for x in labels})
     present = sum(F.contains(low, F.lit(x)).cast("int") for x in firsts)
-    several = (present >= 2) | F.lit(len(firsts) < len(labels)) & (present >= 1)
-    return F.when(several & (F.size(parts) > 2), F.array_join(fields, "\u0001")).otherwise(plain)
+    n = F.size(parts)
+    labelled = ((present >= 2) & (n > 2) & (F.element_at(parts, 1) == "")) | ((present >= 3) & (n > 3))
+    return F.when(present >= 2, F.when(labelled, F.array_join(fields, "\u0001")).otherwise(plain)).otherwise(plain)
 
 
 def content_keys(rows: DataFrame, labels: list[str], extra: tuple = ()) -> DataFrame:
@@ -231,14 +233,15 @@ def _plain_sql(c: str) -> str:
 def _content_sql(c: str) -> str:
     parts = rf"string_split(regexp_replace(lower({c}), '{_START_SQL}\b(' || either || ')\b', chr(1) || '\1', 'g'), chr(1))"
     fields = f"list_sort(list_filter(list_transform({parts}, lambda x: {_plain_sql('x')}), lambda x: x <> ''))"
-    many = f"len(list_filter(heads, lambda h: contains(lower({c}), h))) >= case when len(heads) < n_labels then 1 else 2 end and len({parts}) > 2"
+    present = f"len(list_filter(heads, lambda h: contains(lower({c}), h)))"
+    many = f"({present} >= 2 and len({parts}) > 2 and {parts}[1] = '' or {present} >= 3 and len({parts}) > 3)"
     return f"case when either is not null and {many} then array_to_string({fields}, chr(1)) else {_plain_sql(c)} end"
 
 
 CONTENTS_SQL = rf"""
 starts as (select unnest(list_distinct(regexp_extract_all(text, '{_START_SQL}(\p{{L}}[\p{{L}} ]{{1,39}}?)[ ]?:', 1))) as label from evidence_sample),
 labels as (select lower(label) as label from starts group by 1 having count(*) >= greatest(3, 0.005 * (select count(*) from evidence_sample))),
-l as (select string_agg(replace(label, ' ', '{_BLANK}+'), '|' order by length(label) desc, label) as either, list_distinct(list(split_part(label, ' ', 1))) as heads, count(*) as n_labels from labels),
+l as (select string_agg(replace(label, ' ', '{_BLANK}+'), '|' order by length(label) desc, label) as either, list_distinct(list(split_part(label, ' ', 1))) as heads from labels),
 t as (select row_id, coalesce({_content_sql('title')}, '') as a, {_content_sql('text')} as b from evidence_sample, l),
 contents as (select row_id, least(a, b) || chr(2) || greatest(a, b) as k from t where b is not null and b not in ('', 'removed', 'deleted', 'removedbymoderator', 'deletedbyuser')),
 firsts as (select row_id, min(row_id) over (partition by k) as first_row_id, count(*) over (partition by k) as copies from contents)"""
