@@ -10,7 +10,7 @@ from ..operators import rubric, snapshots, vectors
 from ..runtime import table
 from .evidence import E, FREQ, INTENSITY_CTE, _clusters, _e, _quotes
 
-WALLS = ["sign in to continue", "log in to continue", "please log in", "please sign in", "you must be logged in", "login required", "members only", "enable javascript", "verify you are human", "checking your browser", "just a moment", "access denied", "captcha", "unusual traffic"]
+WALLS = ["sign in to continue", "log in to continue", "sign in to your account", "log in to your account", "please log in", "please sign in", "forgot your password", "you must be logged in", "login required", "create an account to continue", "subscribe to read", "subscribe to continue", "this content is for members", "members only", "enable javascript", "javascript is required", "javascript is disabled", "verify you are human", "verifying you are human", "checking your browser", "just a moment", "attention required", "access denied", "captcha", "unusual traffic"]
 
 
 def _v(spark, d):

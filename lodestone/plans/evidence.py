@@ -11,10 +11,10 @@ from ..operators import rubric
 from ..runtime import table
 
 # Stems of complaints, and the three searches of the corpus.
-COMPLAINTS = ["abandon", "alternativ", "annoy", "anyone else", "awful", "backlog", "broke", "bug", "cannot", "chaos", "complain", "confus", "cost", "crash", "downtime", "error", "expensive", "fail", "fed up", "frustrat", "hate", "headache", "help", "how do", "how to", "issue", "lost", "manual", "mess", "miss", "mistake", "nightmare", "outage", "pain", "paper", "problem", "quit", "rant", "recommend", "replac", "slow", "spreadsheet", "stuck", "terrible", "tired of", "trouble", "useless", "waste", "why does", "workaround", "worse", "worst", "wrong"]
-SPEND = r"\$[0-9]|per (seat|user|month|year)|licen[cs]e|invoice|renewal|quote|contract|we pay|subscription|consultant|vendor"
-EFFORT = r"hours (a|per) (day|week|month)|full.?time|headcount|intern|every (monday|morning|month)|spreadsheet|by hand|manually"
-BLOCKER = r"procure|purchas|budget cycle|council|no api|export|integrat|terms of service|union|security review|legal"
+COMPLAINTS = ["abandon", "advice", "alternativ", "annoy", "anyone else", "avoid", "awful", "backlog", "bloat", "bottleneck", "broke", "bug", "burn", "can't", "cannot", "cant ", "chaos", "charge", "cheaper", "complain", "confus", "cost", "crash", "deprecat", "disaster", "downtime", "drown", "dumb", "duplicate", "error", "expensive", "fail", "fed up", "fix", "frustrat", "garbage", "hack togeth", "hard time", "hate", "headache", "help", "hidden fee", "horrible", "how do", "how to", "impossible", "inefficien", "issue", "junk", "lawsuit", "leav", "lock-in", "lockin", "lost", "manual", "mess", "migrat", "miss", "mistake", "nightmare", "no way to", "not working", "outage", "overwhelm", "pain", "paper", "pointless", "problem", "quit", "rant", "recommend", "refus", "regret", "replac", "ridiculous", "risk", "sick of", "slow", "spreadsheet", "struggl", "stuck", "suck", "switch", "tedious", "terrible", "tired of", "trash", "trouble", "unusable", "useless", "vent", "warn", "waste", "why does", "why is", "won't", "wont ", "workaround", "worse", "worst", "wrong"]
+SPEND = r"\$[0-9]|per (seat|user|month|year)|licen[cs]e|invoice|renewal|quote|contract|we pay|paying for|subscription|retainer|consultant|vendor|rfp"
+EFFORT = r"hrs?/(week|wk|month)|hours (a|per) (day|week|month)|full.?time|fte|headcount|temp|intern|every (monday|morning|month)|spreadsheet|excel|access db|airtable|zapier|script i wrote|by hand|manually"
+BLOCKER = r"procure|rfp|purchas|po |sole.source|budget cycle|council|no api|export|read.only|integrat|tos|terms of service|hipaa|cjis|ferpa|union|civil service|it (won|will never)|security review|soc ?2|legal"
 MARKERS = {"money_loss": r"dollars|euros|late fee|refund", "time_quantified": r"[0-9]+ (minutes|hours|times)", "workaround_built": r"workaround|i built|by hand", "abandonment": r"cancel|went back", "profanity_urgency": r"losing my mind|until further notice", "complainer_is_buyer": r"we pay|gladly pay|i paid"}
 SOURCES = ["reddit", "hackernews", "stackoverflow", "github", "dialog", "producthunt"]
 STOP = ["with", "that", "this", "from", "have", "they", "what", "when", "before", "after", "there", "which", "about", "every", "than", "then", "once", "your", "does", "into", "more", "only", "their", "them", "will", "would", "been"]
@@ -188,7 +188,8 @@ def personas(spark, d):
     """The personas behind each query: cells of its rows, looked up in the frame."""
     m = table(spark, d, "matrix").select(F.col("cell_id").alias("cell"), "persona")
     e = _e(spark, d).filter("query is not null and cell_id is not null").select("query", F.lower("cell_id").alias("cell")).distinct()
-    return e.join(m, "cell").groupBy("query").agg(F.array_join(F.array_sort(F.collect_set("persona")), ",").alias("personas"))
+    # The frame is a fixed small table; queries without a known cell stay, with no persona.
+    return e.join(F.broadcast(m), "cell", "left").groupBy("query").agg(F.array_join(F.array_sort(F.collect_set("persona")), ",").alias("personas"))
 
 
 def matrix_problems(spark, d):
@@ -295,7 +296,7 @@ ORACLES = {
       p as (select row_id, regexp_replace(case when length(head) >= 25 then head else t end, '\\.+$', '') as p from h)
       select row_id, case when length(p) > 120 then regexp_replace(regexp_replace(substr(p, 1, 120), ' [^ ]*$', ''), '[ ,;:]+$', '') || '...' else p end as phrase from p""",
     "complaint_filter": f"""with {E}, g as (select source, text is null or lower(text) in ('[removed]', '[deleted]') as gone,
-      regexp_matches(lower(coalesce(title, '')), '{"|".join(COMPLAINTS)}') or contains(coalesce(title, ''), '?') as signal from e)
+      regexp_matches(lower(coalesce(title, '')), '{"|".join(COMPLAINTS).replace("'", "''")}') or contains(coalesce(title, ''), '?') as signal from e)
       select source, gone, signal, count(*) as n, not gone or signal as kept from g group by all""",
     "corpus_mining": f"with {E}, m as (select row_id, regexp_matches(lower(body), '{SPEND}') as spend, regexp_matches(lower(body), '{EFFORT}') as effort, regexp_matches(lower(body), '{BLOCKER}') as blocker from e) select * from m where spend or effort or blocker",
     "intensity_score": f"with {E}, {QUOTES} select *, case when score >= 4 then 'high' when score = 3 then 'medium' else 'low' end as intensity_read from intensity",
@@ -322,7 +323,7 @@ ORACLES = {
     "on_topic": f"""with {E}, t as (select query, body, {_TERMS.format(c='query', s=_ARR(STOP + ['rant', 'software', 'complaints', 'alternative']))} as terms from e where query is not null),
       h as (select query, list_filter(terms, lambda t: contains(lower(body), t)) as hits from t)
       select query, count(*) as n, count(*) filter (len(hits) >= 2 or len(list_filter(hits, lambda t: length(t) >= 5)) > 0) as on_topic from h group by query""",
-    "personas": f"with {E} select query, string_agg(distinct persona, ',' order by persona) as personas from e join matrix m on m.cell_id = lower(e.cell_id) where query is not null group by query",
+    "personas": f"with {E} select query, coalesce(string_agg(distinct persona, ',' order by persona), '') as personas from e left join matrix m on m.cell_id = lower(e.cell_id) where query is not null and e.cell_id is not null group by query",
     "matrix_problems": """with p as (select cell_id, list_filter([case when len(queries) not between 3 and 6 then 'queries not 3 to 6' end, case when not regexp_matches(cell_id, '^m[0-9]{2}$') then 'cell id' end,
       case when coalesce(trim(persona), '') = '' then 'persona blank' end, case when len(subreddits) > 1 then 'several communities' end], lambda x: x is not null) as bad from matrix)
       select cell_id, coalesce(array_to_string(bad, '; '), '') as problems, len(bad) as n from p""",
