@@ -38,14 +38,17 @@ def deduplicated(e: DataFrame) -> DataFrame:
     url are never merged by it. Each pass is a partial aggregation; ``min`` finds the winner.
     """
     key = F.coalesce(F.concat(F.lit("i"), "id"), F.concat(F.lit("r"), F.col("row_id").cast("string")))
-    wide = F.struct("row_id", "url", "text")
-    one = e.groupBy(key.alias("k")).agg(F.min(wide).alias("first"), F.collect_set("cell_id").alias("cells"), F.count(F.lit(1)).alias("n"))
-    text = F.lower(F.regexp_replace(F.trim(F.coalesce("first.text", F.lit(""))), r"[ \t\n\r]+", " "))
-    content = F.when(F.col("first.url").isNotNull(), F.sha1(F.concat("first.url", F.lit("\n"), text))).otherwise(F.col("k"))
-    two = one.groupBy(content.alias("c")).agg(
-        F.min("first.row_id").alias("row_id"), F.array_distinct(F.flatten(F.collect_list("cells"))).alias("cells"), F.sum("n").alias("n")
-    )
-    return two.select("row_id", F.array_join(F.array_sort("cells"), ",").alias("cells"), (F.col("n") - 1).alias("dropped"))
+    text = F.lower(F.regexp_replace(F.trim(F.coalesce("text", F.lit(""))), r"[ \t\n\r]+", " "))
+    # The wide columns are hashed before anything moves.
+    content = F.when(F.col("url").isNotNull(), F.sha1(F.concat("url", F.lit("\n"), text)))
+    narrow = e.select(key.alias("k"), F.struct("row_id", content.alias("content")).alias("row"), "cell_id")
+    one = narrow.groupBy("k").agg(F.min("row").alias("first"), F.collect_set("cell_id").alias("cells"), F.count(F.lit(1)).alias("n"))
+    # A set of cells is bounded by the frame; a list of rows is not.
+    two = one.select(F.coalesce("first.content", "k").alias("c"), "first.row_id", "n", "cells")
+    sums = two.groupBy("c").agg(F.min("row_id").alias("row_id"), F.sum("n").alias("n"))
+    sets = two.select("c", F.explode("cells").alias("cell")).groupBy("c").agg(F.collect_set("cell").alias("cells"))
+    j = sums.join(sets, "c", "left")
+    return j.select("row_id", F.coalesce(F.array_join(F.array_sort("cells"), ","), F.lit("")).alias("cells"), (F.col("n") - 1).alias("dropped"))
 
 
 def panel(e: DataFrame, cluster: str = "query") -> DataFrame:

@@ -14,11 +14,11 @@ WORD_WEIGHT, GRAM_WEIGHT, BUCKETS = 1.6, 1.0, 512
 
 
 def lexical_embedding(rows: DataFrame, key: str, text: Column) -> DataFrame:
-    """``(key, bucket, weight)``: hashed words and character trigrams of a text, not yet normalised.
+    """``(key, buckets, weights)``: hashed words and character trigrams of a text as a sparse vector, not yet of unit length.
 
-    A text shorter than three characters is one gram; a null or empty text has no
-    buckets. Tokens are hashed once per worker and looked up afterwards: a text has one
-    trigram per character, so hashing each of them anew in an expression is ten times slower.
+    A text shorter than three characters is one gram; a null or empty text has an empty
+    vector. Tokens are hashed once per worker and looked up afterwards: a text has one
+    trigram per character, so hashing each of them anew in an expression is ten times slower. One row a text, nothing is shuffled.
     """
     kind = rows.select(key).schema[0].dataType.simpleString()
 
@@ -39,25 +39,28 @@ def lexical_embedding(rows: DataFrame, key: str, text: Column) -> DataFrame:
         word = re.compile("[a-z0-9]+")
         get = worker_cache("lexical-buckets", Buckets).__getitem__
         for batch in batches:
-            at, bucket, weight = [], [], []
-            for i, t in enumerate(batch.column("_text").to_pylist()):
-                if not t:
-                    continue
-                t = t.lower()
-                grams = [get("t:" + t[j : j + 3]) for j in range(max(1, len(t) - 2))]
-                words = [get("w:" + w) for w in word.findall(t)]
-                total = np.bincount(grams, minlength=BUCKETS) * GRAM_WEIGHT + np.bincount(words, minlength=BUCKETS) * WORD_WEIGHT
-                some = np.nonzero(total)[0]
-                at.append(np.full(len(some), i))
-                bucket.append(some)
-                weight.append(total[some])
-            rows_at = pa.array(np.concatenate(at) if at else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(key).take(rows_at), pa.array(np.concatenate(bucket).astype(np.int32) if bucket else np.empty(0, np.int32)), pa.array(np.concatenate(weight) if weight else np.empty(0))],
-                names=[key, "bucket", "weight"],
-            )
-
-    return rows.select(key, text.alias("_text")).mapInArrow(run, f"{key} {kind}, bucket int, weight double")
+            buckets, weights = [], []
+            for t in batch.column("_text").to_pylist():
+                total = np.zeros(0)
+                if t:
+                    t = t.lower()
+                    grams = [get("t:" + t[j : j + 3]) for j in range(max(1, len(t) - 2))]
+                    words = [get("w:" + w) for w in word.findall(t)]
+                    total = np.bincount(grams, minlength=BUCKETS) * GRAM_WEIGHT + np.bincount(words, minlength=BUCKETS) * WORD_WEIGHT
+                some = np.nonzero(total)[0].astype(np.int32)
+                buckets.append(some)
+                weights.append(total[some])
+            offsets = pa.array(np.cumsum([0, *map(len, buckets)]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x) if x else np.empty(0, k)).cast(t)) for x, k, t in ((buckets, np.int32, pa.int32()), (weights, float, pa.float64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(key), *lists], names=[key, "buckets", "weights"])
+
+    return rows.select(key, text.alias("_text")).mapInArrow(run, f"{key} {kind}, buckets array<int>, weights array<double>")
+
+
+def unit(weights: Column) -> Column:
+    """Weights scaled to length 1; an empty vector stays empty."""
+    norm = F.sqrt(F.aggregate(weights, F.lit(0.0), lambda s, x: s + x * x))
+    return F.transform(weights, lambda x: x / F.when(norm == 0, 1.0).otherwise(norm))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -145,19 +148,18 @@ def average_linkage(n: int, distance: np.ndarray, cut_at: float) -> list[int]:
     return label.tolist()
 
 
-def linkage_labels(vectors: DataFrame, key: str, cut_at: float, vector: str = "centroid", most: int = 5000) -> DataFrame:
-    """``(key, cluster)`` by average linkage over a pool of at most ``most`` vectors.
+def linkage_labels(vectors: DataFrame, key: str, cut_at: float, vector: str = "centroid") -> DataFrame:
+    """``(key, cluster)`` by average linkage.
 
     A merge needs a pair within the cut, so it never crosses components of the graph of such
-    pairs; each component is linked by itself. A larger pool is refused, not sampled.
+    pairs: pairs are looked for tile by tile, and each component is linked by itself, in one task that holds the
+    square of its size. Positions follow the order of the keys.
     """
-    n = vectors.count()
-    if n > most:
-        raise ValueError(f"average linkage is for pools of at most {most}, this one has {n}")
-    pool = cut(vectors.select(F.col(key).alias("k"), F.col(vector).alias("v"), F.row_number().over(W.orderBy(key)).cast("bigint").alias("i")), "linkage")
-    # Both sides are bounded by ``most``.
-    other = F.broadcast(pool.select(F.col("i").alias("j"), F.col("v").alias("u")))
-    edges = pool.join(other, F.col("i") < F.col("j")).filter(cosine_distance(F.col("v"), F.col("u")) <= cut_at)
+    from .pools import close_pairs
+
+    numbered = vectors.select(F.col(key).alias("k"), F.col(vector).alias("v")).orderBy("k").withColumn("i", F.monotonically_increasing_id())
+    pool = cut(numbered.withColumn("one", F.lit(0)), "linkage")
+    edges = close_pairs(pool, "one", "i", "v", cut_at).withColumnsRenamed({"a": "i", "b": "j"})
     comp = connected_components(edges.select(F.col("i").alias("src"), F.col("j").alias("dst")))
     placed = pool.join(comp.withColumnRenamed("node", "i"), "i", "left").withColumn("component", F.coalesce("component", "i"))
 

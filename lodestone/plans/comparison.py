@@ -19,9 +19,11 @@ def _v(spark, d):
 
 def lexical_embed(spark, d):
     """Hashed words and trigrams of every record: how many buckets, their weight, and the heaviest one."""
-    b = vectors.lexical_embedding(_e(spark, d), "row_id", F.col("body"))
-    return b.groupBy("row_id").agg(F.count(F.lit(1)).alias("buckets"), F.round(F.sum("weight"), 4).alias("weight"), F.round(F.sum(F.col("weight") * F.col("weight")), 4).alias("squares"),
-                                   F.max(F.struct(F.round("weight", 4).alias("w"), (-F.col("bucket")).alias("b"))).alias("m")).select("row_id", "buckets", "weight", "squares", (-F.col("m.b")).alias("heaviest"))
+    v = vectors.lexical_embedding(_e(spark, d), "row_id", F.col("body"))
+    total = lambda f: F.aggregate("weights", F.lit(0.0), lambda s, x: s + f(x))
+    # Buckets ascend, so the first of the heaviest is the smallest.
+    first = F.element_at(F.col("buckets"), F.array_position(F.transform("weights", lambda x: F.round(x, 4)), F.round(F.array_max("weights"), 4)).cast("int"))
+    return v.filter(F.size("buckets") > 0).select("row_id", F.size("buckets").cast("bigint").alias("buckets"), F.round(total(lambda x: x), 4).alias("weight"), F.round(total(lambda x: x * x), 4).alias("squares"), first.alias("heaviest"))
 
 
 def centroid(spark, d):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.normal import epoch_seconds
 from ..operators import evidence as ev
 from ..operators import rubric
 from ..runtime import table
@@ -218,10 +219,9 @@ def sources_of_urls(spark, d):
 
 
 def late_rows(spark, d):
-    """How late rows of each batch arrive after the batch closed."""
-    e = table(spark, d, "evidence_sample").select("row_id", "batch_id", "received_at")
-    b = table(spark, d, "capture_batch").select("batch_id", "closed_at")
-    j = e.join(b, "batch_id").withColumn("days", F.floor((F.unix_timestamp("received_at") - F.unix_timestamp("closed_at")) / 86400))
+    """How many days after their capture rows were received, for those that were late."""
+    e = table(spark, d, "evidence_sample").select("received_at", epoch_seconds(F.col("captured_utc")).alias("captured"))
+    j = e.withColumn("days", F.floor((F.unix_timestamp("received_at") - F.col("captured")) / 86400))
     return j.filter("days >= 1").groupBy("days").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -331,5 +331,6 @@ ORACLES = {
       select b.batch_id, lower(trim(status)) as status, n_lines, coalesce(arrived, 0) as arrived, case when n_lines is null then 'not announced' when n_lines = coalesce(arrived, 0) then 'complete' else 'differs' end as outcome from capture_batch b left join n using (batch_id)""",
     "sources_of_urls": f"""with {E}, u as (select regexp_replace(url, '/$', '') as u, source from e where url is not null), a as (select u from u where source = 'reddit'), b as (select u from u where source = 'dialog')
       select 'both' as part, count(*) as urls from (select u from a intersect select u from b) union all select 'first only', count(*) from (select u from a except select u from b)""",
-    "late_rows": """select floor((epoch(date_trunc('second', received_at)) - epoch(date_trunc('second', closed_at))) / 86400)::bigint as days, count(*) as n from evidence_sample join capture_batch using (batch_id) group by 1 having days >= 1""",
+    "late_rows": """with e as (select received_at, case when captured_utc <= 0 then null when captured_utc >= 100000000000000000 then captured_utc // 1000000000 when captured_utc >= 100000000000000 then captured_utc // 1000000 when captured_utc >= 100000000000 then captured_utc // 1000 else captured_utc end as c from evidence_sample)
+      select floor((epoch(date_trunc('second', received_at)) - c) / 86400)::bigint as days, count(*) as n from e group by 1 having days >= 1""",
 }

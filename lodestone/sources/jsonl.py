@@ -70,3 +70,55 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     """Non-blank lines of a text file that are no comments."""
     t = spark.read.text(path).select(F.trim("value").alias("line"))
     return t.filter("line <> '' and not startswith(line, '#')")
+
+
+def inputs(spark: SparkSession, paths: list[str]) -> tuple[list[str], DataFrame]:
+    """The files behind ``paths`` (files, or folders searched to any depth), each once by its real path, and a problem row for every path that is not there.
+
+    Names that begin with a dot or an underscore are scratch files and left out.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    found: dict[str, None] = {}
+    problems = []
+    for p in paths:
+        target = jvm.org.apache.hadoop.fs.Path(p)
+        system = target.getFileSystem(conf)
+        if not system.exists(target):
+            problems.append((p, "not found"))
+            continue
+        each = system.listFiles(system.resolvePath(target), True)
+        while each.hasNext():
+            real = system.resolvePath(each.next().getPath())
+            if not real.getName().startswith((".", "_")) and real.getName().endswith((".json", ".jsonl")):
+                found[real.toString()] = None
+    return sorted(found), spark.createDataFrame(problems, "path string, problem string")
+
+
+def document(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A JSON document as one row; no row if the file is not there or holds no object of the schema."""
+    files, _ = inputs(spark, [path])
+    if not files:
+        return spark.createDataFrame([], schema)
+    read = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(files)
+    return read.filter(F.coalesce(*[F.col(f"`{f}`").isNotNull().cast("int") * 0 for f in schema.fieldNames()]).isNotNull()).dropna("all")
+
+
+def write_by_source(rows: DataFrame, path: str, one_file: bool = False) -> None:
+    """Evidence as JSON lines, one folder for each source or all together; rows of a source that is null go under its default name."""
+    (rows.write if one_file else rows.write.partitionBy("source")).mode("append").json(path)
+
+
+def append_health(entries: DataFrame, path: str) -> None:
+    """Add health entries to a log; nothing that stands there is read or changed."""
+    entries.select(*HEALTH.fieldNames()).write.mode("append").json(path)
+
+
+def strict_json(row: DataFrame) -> DataFrame:
+    """Every row as one JSON text without not-a-number or infinite values, which become null."""
+    def finite(f):
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            c = F.when(F.isnan(c) | (F.abs(c) == float("inf")), None).otherwise(c)
+        return c.alias(f.name)
+
+    return row.select(F.to_json(F.struct(*[finite(f) for f in row.schema.fields]), {"ignoreNullFields": "false"}).alias("json"))

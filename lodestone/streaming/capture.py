@@ -46,9 +46,8 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
 def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = f"{sf_dir}/{name}.parquet"
     schema = spark.read.parquet(path).schema
-    import os
-
     # A table is one file or a folder of files; the stream reads either.
-    if os.path.isfile(path):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if target.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(target).isFile():
         return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
     return spark.readStream.schema(schema).parquet(path)

@@ -185,8 +185,6 @@ def test_linkage_over_components(spark):
     for r in vectors.linkage_labels(df, "k", 0.3).collect():
         got.setdefault(r["cluster"], set()).add(int(r["k"][1:]))
     assert {frozenset(v) for v in got.values()} == full_linkage(x, 0.3)
-    with pytest.raises(ValueError):
-        vectors.linkage_labels(df, "k", 0.3, most=10)
 
 
 SERIES = "series_id bigint, query string, source string, period string, start_utc bigint, end_utc bigint, hits bigint, is_partial boolean, is_censored boolean"
@@ -257,3 +255,80 @@ def test_round_robin(spark):
     for g in "ab":
         mine = [i for i in range(12) if ("ab"[i % 2] if i < 6 else "a") == g]
         assert [got[i] for i in mine] == list(range(1, len(mine) + 1))
+
+
+def test_sql_functions(spark):
+    from lodestone.functions import sql
+
+    assert "cosine_distance" in sql.register(spark)
+    r = spark.sql("select cosine_distance(array(1D, 0D), array(0D, 1D)) d, engagement_of(null, 3) e, engagement_of(null, null) n, half_year(1719792000) h, fold_quote('a “b”  c…') f, word_count(' a  b ') w").first()
+    assert (r["d"], r["e"], r["n"], r["h"], r["f"], r["w"]) == (1.0, 3, None, "2024-H2", 'a "b" c...', 2)
+
+
+def test_inputs_and_documents(spark, tmp_path):
+    from lodestone.sources import jsonl
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.jsonl").write_text('{"source": "s", "status": "ok"}\n')
+    (tmp_path / "a" / ".y.jsonl").write_text("{}\n")
+    files, problems = jsonl.inputs(spark, [f"file://{tmp_path}/a", f"file://{tmp_path}/a/x.jsonl", f"file://{tmp_path}/none"])
+    assert len(files) == 1 and [r["problem"] for r in problems.collect()] == ["not found"]
+    (tmp_path / "d.json").write_text('{\n "source": "s"\n}')
+    assert jsonl.document(spark, f"file://{tmp_path}/d.json", jsonl.HEALTH).first()["source"] == "s"
+    assert jsonl.document(spark, f"file://{tmp_path}/no.json", jsonl.HEALTH).count() == 0
+    odd = spark.createDataFrame([(1.5, "a"), (float("nan"), None), (float("inf"), "b")], "x double, y string")
+    assert [r["json"] for r in jsonl.strict_json(odd).collect()] == ['{"x":1.5,"y":"a"}', '{"x":null,"y":null}', '{"x":null,"y":"b"}']
+
+
+def test_density_clusters_by_hand():
+    from lodestone.operators import pools
+
+    rng = np.random.default_rng(5)
+    centers = rng.standard_normal((4, 16))
+    x = np.concatenate([c + 0.05 * rng.standard_normal((12, 16)) for c in centers] + [rng.standard_normal((6, 16))])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    label = pools.density_labels(x, 4)
+    for k in range(4):
+        assert len(set(label[12 * k : 12 * k + 12])) == 1 and label[12 * k] != -1
+    assert len({label[12 * k] for k in range(4)}) == 4
+    tree = pools.spanning_tree(x)
+    d = np.maximum(0, 1 - x @ x.T)
+    # Prim's tree weighs as much as the one that joins components by the shortest edge.
+    parts, weight = list(range(len(x))), 0.0
+    for i, j in sorted(((i, j) for i in range(len(x)) for j in range(i)), key=lambda p: d[p]):
+        if parts[i] != parts[j]:
+            weight += d[i, j]
+            parts = [parts[j] if p == parts[i] else p for p in parts]
+    assert abs(tree[:, 0].sum() - weight) < 1e-9
+    assert set(pools.density_labels(x[:1])) == {-1} and len(pools.density_labels(np.zeros((0, 3)))) == 0
+    # A cut wider than the births of all clusters merges them upwards, and never to the root.
+    assert len(set(pools.density_labels(x, 4, 1e-9)) - {-1}) == len(set(label) - {-1})
+
+
+def test_tiles_hold_every_pair_once(spark, monkeypatch):
+    from lodestone.operators import pools
+
+    monkeypatch.setattr(pools, "TILE", 7)
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((40, 5))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(0, i, x[i].tolist()) for i in range(40)] + [(1, 99, [1.0, 0.0, 0.0, 0.0, 0.0]), (1, 100, None)], "pool int, k bigint, v array<double>")
+    want = np.maximum(0, 1 - x @ x.T)[np.triu_indices(40, 1)]
+    counts = pools.distance_counts(df, "pool", "k", "v")
+    assert counts.agg(F.sum("n")).first()[0] == len(want)
+    c = pools.cuts(df, "pool", "k", "v").collect()
+    assert len(c) == 1 and abs(c[0]["cut"] - np.percentile(np.repeat(want, 2), 35)) < 2e-6 and abs(c[0]["p75"] - np.percentile(want, 75)) < 1e-4
+    pairs = {(r["a"], r["b"]) for r in pools.close_pairs(df, "pool", "k", "v", 0.4).collect()}
+    assert pairs == {(i, j) for i in range(40) for j in range(i + 1, 40) if 1 - x[i] @ x[j] <= 0.4}
+
+
+def test_merging_twice_changes_nothing(spark):
+    from lodestone.operators import spine
+
+    schema = "source string, id string, row_id bigint"
+    staged = spark.createDataFrame([("reddit", "a", 3), ("reddit", "a", 4), ("odd", "b", 5), ("reddit", None, 6)], schema)
+    kept, report = spine.merged(spark.createDataFrame([("reddit", "a", 9)], schema), staged, ["reddit"])
+    assert [(r["id"], r["row_id"], r["added"]) for r in kept.collect()] == [("a", 9, False)]
+    assert {r["source"]: (r["written"], r["without_id"], r["status"]) for r in report.collect()} == {"reddit": (1, 1, "merged"), "odd": (0, 0, "not merged: unknown source")}
+    again, _ = spine.merged(kept.select("source", "id", "row_id"), staged, ["reddit"])
+    assert again.count() == 1
