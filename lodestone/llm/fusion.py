@@ -9,6 +9,8 @@ from ..functions.normal import canonical_id, epoch_seconds, permalink, score_val
 from ..operators.graph import connected_components
 from ..runtime import cut, drop, key128, skew_join, table
 
+#: Up to so many sources, a name and a number each, are broadcast to the votes; more are shuffled.
+MOST_SOURCES = 10_000
 FIELDS = ("cell_id", "score", "captured_utc")
 
 
@@ -49,16 +51,16 @@ def posts(rows: DataFrame, extra: tuple = ()) -> DataFrame:
     return keyed.select("row_id", *extra).join(member, "row_id")
 
 
-def discover(claims: DataFrame, rounds: int = 12, tolerance: float = 0.01) -> tuple[DataFrame, DataFrame]:
+def discover(claims: DataFrame, rounds: int = 40, tolerance: float = 0.01) -> tuple[DataFrame, DataFrame, dict]:
     """Truth discovery over ``(post, source, field, value, latest)`` claims.
 
     Starting with equal reliabilities, every round lets the sources vote for the values of
     each (post, field) with their reliability as weight, takes the value with most support
     (then the latest, then the smallest value), and sets the reliability of a source to
     ``-log`` of its smoothed share of lost claims, until none moves by more
-    than ``tolerance``. Claims that repeat are one claim with a count. Null
-    values are no claims. Returns ``(post, field, value, support, voters)`` with
-    one row per claimed field, and ``(source, reliability)``.
+    than ``tolerance``. From the ninth round on the mean of the old and the new reliability is taken, so that votes that swing come to rest. Claims that repeat
+    are one claim with a count. Null values are no claims. Returns ``(post, field, value, support, voters)`` with
+    one row per claimed field, ``(source, reliability)``, and how it ended: ``rounds``, ``settled`` and the last ``moved``.
     """
     tally = claims.filter("value is not null").groupBy("post", "field", "value", "source").agg(
         F.count(F.lit(1)).alias("n"), F.max("latest").alias("latest")
@@ -68,26 +70,33 @@ def discover(claims: DataFrame, rounds: int = 12, tolerance: float = 0.01) -> tu
     trust = cut(trust, "trust")
 
     def vote(current: DataFrame) -> DataFrame:
-        support = tally.join(current, "source").groupBy("post", "field", "value").agg(
+        # One row a source: the sources are few, and a hot one must not meet in one task.
+        support = tally.join(F.broadcast(current) if few else current, "source").groupBy("post", "field", "value").agg(
             F.round(F.sum(F.col("n") * F.col("reliability")), 9).alias("support"), F.sum("n").alias("voters"), F.max("latest").alias("latest")
         )
-        ahead = F.struct("support", F.coalesce("latest", F.lit(-1)), F.hash("value"), "value", "voters")
-        best = support.groupBy("post", "field").agg(F.max(ahead).alias("best"))
-        return best.select("post", "field", "best.value", "best.support", "best.voters")
+        ahead = F.struct((-F.col("support")).alias("support"), (-F.coalesce("latest", F.lit(-1))).alias("latest"), "value", "voters")
+        best = support.groupBy("post", "field").agg(F.min(ahead).alias("best"))
+        return best.select("post", "field", "best.value", (-F.col("best.support")).alias("support"), "best.voters")
 
-    for _ in range(rounds):
+    few = trust.count() <= MOST_SOURCES
+    ended = {"rounds": 0, "settled": False, "moved": None}
+    for k in range(rounds):
         lost = (
             tally.join(vote(trust).select("post", "field", F.col("value").alias("truth")), ["post", "field"])
             .groupBy("source")
             .agg(((F.sum(F.when(F.col("value") != F.col("truth"), F.col("n")).otherwise(0)) + 0.5) / (F.sum("n") + 1.0)).alias("error"))
         )
-        following = cut(lost.select("source", F.round(-F.log("error"), 6).alias("reliability")), "trust")
-        moved = following.join(trust.withColumnRenamed("reliability", "before"), "source").agg(F.max(F.abs(F.col("reliability") - F.col("before")))).first()[0]
+        former = trust.withColumnRenamed("reliability", "former")
+        share = 1.0 if k < 8 else 0.5
+        following = lost.join(former, "source").select("source", F.round(F.lit(share) * -F.log("error") + F.lit(1 - share) * F.col("former"), 6).alias("reliability"))
+        following = cut(following, "trust")
+        moved = following.join(former, "source").agg(F.max(F.abs(F.col("reliability") - F.col("former")))).first()[0]
         drop(trust)
         trust = following
-        if moved is None or moved <= tolerance:
+        ended = {"rounds": k + 1, "settled": moved is None or moved <= tolerance, "moved": moved}
+        if ended["settled"]:
             break
-    return vote(trust), trust
+    return vote(trust), trust, ended
 
 
 def fused_posts(rows: DataFrame, cells: DataFrame) -> DataFrame:
@@ -114,7 +123,7 @@ def fused_posts(rows: DataFrame, cells: DataFrame) -> DataFrame:
         "post", "source", F.col("captured").alias("latest"),
         F.explode(F.create_map(*[x for name, c in zip(FIELDS, ("known", "score", "captured")) for x in (F.lit(name), F.col(c).cast("string"))])).alias("field", "value"),
     )
-    values, _ = discover(claims)
+    values, _, _ = discover(claims)
     wide = values.groupBy(F.col("post").alias("first_row_id")).agg(
         *[F.max(F.when(F.col("field") == name, F.col("value"))).alias(name) for name in FIELDS],
         F.max(F.when(F.col("field") == "cell_id", F.col("voters"))).alias("cell_voters"),
@@ -146,13 +155,36 @@ _ROUNDS = "".join(
     f", a{i} as (select *, min(l{i}) over (partition by coalesce(cid, 'r' || row_id)) as m{i} from b{i}), b{i + 1} as (select *, min(m{i}) over (partition by coalesce(link, 'r' || row_id), created_utc) as l{i + 1} from a{i})"
     for i in range(5)
 )
-ORACLES = {
-    "p1_found": rf"""with raw as (
+_POSTS = rf"""raw as (
       select *, case when {_ID} not in ('', 'null', 'none', 'n/a', 'na', 'nan', 'unknown', 'undefined', '-') then {_ID} end as cid, {_BASE} as u from evidence_sample),
     b0 as (select row_id, cid, created_utc, cell_id, engagement, captured_utc, row_id as l0, regexp_replace(regexp_replace(split_part(u, '?', 1), '/{{2,}}', '/', 'g'), '/$', '')
       || case when len({_KEPT}) > 0 then '?' || array_to_string(list_sort({_KEPT}), '&') else '' end as link from raw){_ROUNDS},
     r as (select row_id, l5 as post, case when captured_utc <= 0 then null when captured_utc >= 100000000000000 then captured_utc // 1000000 when captured_utc >= 100000000000 then captured_utc // 1000 else captured_utc end as taken,
-      (lower(trim(cell_id)) in (select cell_id from matrix))::int as cell, (engagement.score between -500 and 60000)::int as score from b5),
-    k as (select *, count(*) over (partition by post) as n, row_number() over (partition by post order by coalesce(cell, 0) + coalesce(score, 0) + (taken is not null)::int desc, coalesce(taken, -1) desc, row_id) as rk from r)
-    select post as first_row_id, row_id as best_row_id from k where n > 1 and rk = 1"""
+      (lower(trim(cell_id)) in (select cell_id from matrix))::int as cell, (engagement.score between -500 and 60000)::int as score from b5)"""
+_BEST = """k as (select *, count(*) over (partition by post) as n, row_number() over (partition by post order by coalesce(cell, 0) + coalesce(score, 0) + (taken is not null)::int desc, coalesce(taken, -1) desc, row_id) as rk from r)"""
+
+
+def _rounds(n: int) -> str:
+    """Rounds of voting and of judging sources, as ``discover`` has them; a round after the last that moved anything repeats it."""
+    out = ["t0 as (select distinct source, 1.0::double as reliability, false as done from tally)"]
+    vote = """select post, field, value, support, voters from (select *, row_number() over (partition by post, field order by support desc, coalesce(latest, -1) desc, value) as rk
+        from (select post, field, value, round(sum(n * reliability), 9) as support, sum(n)::bigint as voters, max(latest) as latest from tally join t{i} using (source) group by 1, 2, 3)) where rk = 1"""
+    for i in range(n):
+        share = 1.0 if i < 8 else 0.5
+        out.append(f"v{i} as ({vote.format(i=i)})")
+        out.append(f"l{i} as (select source, (sum(case when a.value <> v.value then n else 0 end) + 0.5) / (sum(n) + 1.0) as error from tally a join v{i} v using (post, field) group by 1)")
+        out.append(f"n{i} as (select source, t.reliability as former, t.done, case when t.done then t.reliability else round({share}::double * -ln(error) + {1 - share}::double * t.reliability, 6) end as reliability from l{i} join t{i} t using (source))")
+        out.append(f"t{i + 1} as (select source, reliability, done or max(abs(reliability - former)) over () <= 0.01 as done from n{i})")
+    return ", ".join(out) + f", truth as ({vote.format(i=n)})"
+
+
+ORACLES = {
+    "p1_found": f"with {_POSTS}, {_BEST} select post as first_row_id, row_id as best_row_id from k where n > 1 and rk = 1",
+    "p1_posts": f"""with {_POSTS}, {_BEST}, g as (select post, row_id, n from k where n > 1),
+    src as (select e.row_id, coalesce(lower(trim(source)), '?') as source, (select max(cell_id) from matrix m where m.cell_id = {_SQUEEZE.format(c="e.cell_id")}) as known, case when engagement.score between -500 and 60000 then engagement.score end as score,
+      case when captured_utc <= 0 then null when captured_utc >= 100000000000000 then captured_utc // 1000000 when captured_utc >= 100000000000 then captured_utc // 1000 else captured_utc end as captured from evidence_sample e),
+    cl as (select post, source, captured as latest, unnest(['cell_id', 'score', 'captured_utc']) as field, unnest([known, score::varchar, captured::varchar]) as value from g join src using (row_id)),
+    tally as (select post, field, value, source, count(*) as n, max(latest) as latest from cl where value is not null group by 1, 2, 3, 4), {_rounds(12)}
+    select post as first_row_id, k.row_id as best_row_id, n as n_rows, max(value) filter (field = 'cell_id') as cell_id, max(value) filter (field = 'score')::bigint as score, max(value) filter (field = 'captured_utc')::bigint as captured_utc,
+      max(voters) filter (field = 'cell_id') as cell_voters from k left join truth using (post) where n > 1 and rk = 1 group by 1, 2, 3""",
 }

@@ -105,10 +105,20 @@ def test_truth_discovery_learns_who_is_reliable(spark):
         for s in ("good1", "good2", "bad1", "bad2", "bad3"):
             wrong = s.startswith("bad") and rng.random() < 0.7
             rows.append((post, s, "f", f"wrong{rng.randrange(3)}" if wrong else "right", 1))
-    values, trust = fusion.discover(spark.createDataFrame(rows, "post bigint, source string, field string, value string, latest bigint"))
+    values, trust, ended = fusion.discover(spark.createDataFrame(rows, "post bigint, source string, field string, value string, latest bigint"))
     r = {x["source"]: x["reliability"] for x in trust.collect()}
     assert min(r["good1"], r["good2"]) > max(r[s] for s in r if s.startswith("bad"))
     assert all(v["value"] == "right" for v in values.collect())
+    assert ended["settled"] and 1 < ended["rounds"] < 40
+
+
+def test_truth_discovery_ends_where_votes_swing(spark):
+    schema = "post bigint, source string, field string, value string, latest bigint"
+    rows = [(p, s, "f", v, None) for p in range(6) for s, v in (("a", "x"), ("b", "y"))] + [(9, "a", "f", None, 1)]
+    values, _, ended = fusion.discover(spark.createDataFrame(rows, schema))
+    assert ended["settled"] and {r["value"] for r in values.collect()} == {"x"}
+    none, _, ended = fusion.discover(spark.createDataFrame([], schema))
+    assert none.count() == 0 and ended["settled"]
 
 
 # 2 -------------------------------------------------------------------------------------------------
