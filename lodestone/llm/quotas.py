@@ -10,6 +10,8 @@ from ..functions.normal import handle, score_value
 from ..runtime import cut, table
 
 ROW_SLICES = 65_536
+#: Rows of the tables of seats and edges up to which they are broadcast; a row has some 60 bytes.
+MOST_SENT = 100_000
 
 
 def largest_remainder(weights: list[float], sizes: list[int], cap: int) -> list[int]:
@@ -64,6 +66,10 @@ def split_by_cap(rows: DataFrame, caps: DataFrame, quality: str = "quality", ord
     totals = strata.groupBy(*group).agg(F.sum("n").alias("total"))
     over = totals.join(F.broadcast(caps), "kind").filter("total > cap").select(*group, "cap")
 
+    def sent(df):
+        return F.broadcast(df) if small else df
+
+
     def apportion(key, frame):
         import pandas as pd
 
@@ -75,14 +81,15 @@ def split_by_cap(rows: DataFrame, caps: DataFrame, quality: str = "quality", ord
     schema = "kind string, contributor string, stratum string, seats bigint"
     # One row per stratum of one contributor: already aggregated, a handful per group.
     seats = cut(strata.join(over, group).groupBy(*group).applyInPandas(apportion, schema), "quota-seats")
+    small = seats.count() <= MOST_SENT
 
     best_first = W.partitionBy(*cell).orderBy(F.col(quality).desc_nulls_last())
-    running = counted.join(F.broadcast(seats), cell).withColumn("upto", F.sum("n").over(best_first.rowsBetween(W.unboundedPreceding, 0)))
+    running = counted.join(sent(seats), cell).withColumn("upto", F.sum("n").over(best_first.rowsBetween(W.unboundedPreceding, 0)))
     edge = running.filter("upto > seats and upto - n <= seats").select(
         *cell, F.col(quality).alias("edge"), (F.col("seats") - F.col("upto") + F.col("n")).alias("seats_at_edge")
     )
     edge = cut(edge, "quota-edges")
-    judged = named.join(F.broadcast(seats.select(*cell)), cell, "left_semi").join(F.broadcast(edge), cell, "left")
+    judged = named.join(sent(seats.select(*cell)), cell, "left_semi").join(sent(edge), cell, "left")
     beyond = F.col(quality).isNull() | (F.col(quality) < F.col("edge"))
     state = (
         F.when(F.col("seats_at_edge").isNull(), "in")
@@ -101,7 +108,7 @@ def split_by_cap(rows: DataFrame, caps: DataFrame, quality: str = "quality", ord
     by_slice = by_slice.withColumn("upto", F.sum("n").over(earliest.rowsBetween(W.unboundedPreceding, 0)))
     turn = cut(by_slice.filter("upto > seats_at_edge and upto - n <= seats_at_edge").select(
         *cell, F.col("slice").alias("turn"), (F.col("seats_at_edge") - F.col("upto") + F.col("n")).alias("seats_at_turn")), "quota-turns")
-    ties = ties.join(F.broadcast(turn), cell, "left")
+    ties = ties.join(sent(turn), cell, "left")
     clear = ties.filter("turn is null or slice <> turn").withColumn("kept", F.col("turn").isNull() | (F.col("slice") < F.col("turn")))
     close = ties.filter("slice = turn").withColumn("at", F.row_number().over(W.partitionBy(*cell).orderBy(order)))
     close = close.withColumn("kept", F.col("at") <= F.col("seats_at_turn"))
@@ -153,17 +160,31 @@ def p2_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"p2_found": p2_found, "p2_capped": p2_capped}
 
 _HANDLE = r"regexp_replace(lower(regexp_replace({c}, '^[\s\p{{Z}}\p{{Cc}}\p{{Cf}}]+|[\s\p{{Z}}\p{{Cc}}\p{{Cf}}]+$', '', 'g')), '^/?(?:{s}/)?', '')"
-ORACLES = {
-    "p2_found": f"""
-with r as (
-  select 'author' as kind, {_HANDLE.format(c="author", s="u")} as who, row_id, engagement.score as s from evidence_sample
+_RANKED = f"""r as (
+  select 'author' as kind, {_HANDLE.format(c="author", s="u")} as who, row_id, engagement.score as s, created_utc from evidence_sample
   union all
-  select 'community', {_HANDLE.format(c="community", s="r")}, row_id, engagement.score from evidence_sample),
-ranked as (
-  select kind, row_id, row_number() over (partition by kind, who order by case when s between -500 and 60000 then s end desc nulls last, row_id) as rk
-  from r where who is not null
-    and who not in ('', 'null', 'none', 'n/a', 'na', 'nan', 'unknown', 'undefined', '-', '[deleted]', 'deleted', '[removed]', 'removed')),
-n as (select count(*) as n from evidence_sample)
-select kind as contributor_kind, row_id from ranked, n
-where rk > greatest(1, floor(n.n * case kind when 'author' then 0.005 else 0.06 end))"""
+  select 'community', {_HANDLE.format(c="community", s="r")}, row_id, engagement.score, created_utc from evidence_sample),
+named as (select kind, who, row_id, case when s between -500 and 60000 then s end as q, coalesce(year(to_timestamp(created_utc) at time zone 'UTC') || 'Q' || quarter(to_timestamp(created_utc) at time zone 'UTC'), '') as stratum from r
+  where who is not null and who not in ('', 'null', 'none', 'n/a', 'na', 'nan', 'unknown', 'undefined', '-', '[deleted]', 'deleted', '[removed]', 'removed')),
+caps as (select 'author' as kind, greatest(1, floor(count(*) * 0.005))::bigint as cap from evidence_sample union all select 'community', greatest(1, floor(count(*) * 0.06))::bigint from evidence_sample)"""
+
+
+def _apportioned(rounds: int = 12) -> str:
+    """Seats by largest remainder, spare ones given again round by round."""
+    out = ["""cells as (select kind, who, stratum, count(*) as n from named group by 1, 2, 3),
+      s0 as (select kind, who, stratum, n, pow(n, 0.5) as w, 0::bigint as seats, cap as spare from (select *, sum(n) over (partition by kind, who) as total from cells) join caps using (kind) where total > cap)"""]
+    g = "partition by kind, who"
+    for i in range(rounds):
+        out.append(f"""a{i} as (select *, seats < n as open, case when seats < n then spare * w / sum(case when seats < n then w end) over ({g}) end as share from s{i}),
+      b{i} as (select *, floor(share) as whole, spare - sum(floor(share)) over ({g}) as rest, row_number() over ({g} order by open desc, floor(share) - share, stratum) as rk from a{i}),
+      c{i} as (select *, case when open then least(whole + (rk <= rest)::int, n - seats) else 0 end::bigint as give from b{i}),
+      s{i + 1} as (select kind, who, stratum, n, w, seats + give as seats, (spare - sum(give) over ({g}))::bigint as spare from c{i})""")
+    return ", ".join(out)
+
+
+ORACLES = {
+    "p2_found": f"""with {_RANKED}, ranked as (select *, row_number() over (partition by kind, who order by q desc nulls last, row_id) as rk from named)
+      select kind as contributor_kind, row_id from ranked join caps using (kind) where rk > cap""",
+    "p2_capped": f"""with {_RANKED}, {_apportioned()}, ranked as (select *, row_number() over (partition by kind, who, stratum order by q desc nulls last, row_id) as rk from named)
+      select kind as contributor_kind, who as contributor, stratum, row_id from ranked join s12 using (kind, who, stratum) where rk > seats""",
 }
