@@ -23,7 +23,9 @@ HASHED, TERMS, VECTORS = 65_536, 2_048, 44
 LEAST_CLUSTERS, MOST_CLUSTERS = 10, 40
 #: The weight of a term is this power of its idf: what most records have weighs next to nothing, and no share of the records is a limit.
 FADE = 3
-STEPS, LLOYD, SEEDS = 7, 4, 8_000
+#: Steps that are always made, steps at most, and the relative change of the eigenvalues' sum at which they end.
+STEPS, MOST_STEPS, STILL = 7, 24, 0.005
+LLOYD, SEEDS = 4, 8_000
 _WORD = re.compile(r"[^\W\d_]{3,}")
 
 
@@ -123,7 +125,7 @@ class Themes:
         self.place = np.full(HASHED, -1, np.int32)
         self.place[self.chosen] = np.arange(len(self.chosen))
         self.weight = (np.log(n / counts[self.chosen]) ** FADE).astype(np.float32) if len(self.chosen) else np.zeros(0, np.float32)
-        self.k, self.centers = 0, np.zeros((0, 0))
+        self.k, self.centers, self.steps, self.moved = 0, np.zeros((0, 0)), 0, None
         if len(self.chosen) >= 2 * LEAST_CLUSTERS:
             self._iterate(seed)
             self._divide(k, seed)
@@ -136,7 +138,8 @@ class Themes:
         y = np.random.default_rng(seed).standard_normal((terms, vectors)).astype(np.float32)
         total = self.mass
 
-        for step in range(STEPS):
+        before = None
+        for step in range(MOST_STEPS):
 
             def multiply(batches, y=y):
                 out = np.zeros((terms + vectors, vectors))
@@ -154,6 +157,12 @@ class Themes:
             turn = np.linalg.inv(np.linalg.cholesky(gram)).T
             # The records' vectors become orthonormal by the same change of basis that is applied to the terms' side.
             y = (both[:terms] @ turn).astype(np.float32)
+            # With orthonormal records' vectors, the trace of what a step makes of them is the sum of the eigenvalues found.
+            now = float(np.sum(y.astype(np.float64) ** 2))
+            self.steps, self.moved = step + 1, None if before is None else abs(now - before) / max(now, 1e-12)
+            before = now
+            if step + 1 >= STEPS and self.moved <= STILL:
+                break
         values, basis = np.linalg.eigh(y.astype(np.float64).T @ y)
         self.values, self.y = values[::-1], (y @ basis[:, ::-1]).astype(np.float32)
 
