@@ -332,3 +332,11 @@ def test_merging_twice_changes_nothing(spark):
     assert {r["source"]: (r["written"], r["without_id"], r["status"]) for r in report.collect()} == {"reddit": (1, 1, "merged"), "odd": (0, 0, "not merged: unknown source")}
     again, _ = spine.merged(kept.select("source", "id", "row_id"), staged, ["reddit"])
     assert again.count() == 1
+
+
+def test_intermediate_tables_are_released(spark):
+    from lodestone import runtime
+
+    df = runtime.cut(spark.range(3), "kept")
+    assert df.count() == 3 and runtime.release(spark) >= 1
+    assert runtime.names_in(spark, df._lodestone_path) == []
