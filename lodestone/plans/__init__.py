@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("delivery", "evidence", "series", "comparison", "intake", "streams", "pools", "spine", "rescan", "cards")
+MODULES = ("delivery", "evidence", "series", "comparison", "intake", "streams", "pools", "spine", "rescan", "cards", "wedges")
 
 
 def _merged(attribute: str) -> dict:
