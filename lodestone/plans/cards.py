@@ -70,13 +70,13 @@ QUERIES = {name: globals()[name] for name in _NAMES}
 
 _P = f"""{CARDS}, cc as (select lower(nullif(trim(query), '')) as query, count(*) filter (community is null) as gaps, count(distinct lower(trim(community))) as n from evidence_sample where query is not null group by 1),
   p as (select freq.*, score, b, case when gaps = 0 then n end as competitor_count from freq left join intensity using (query) left join cc using (query)),
-  co as (select row_number() over (order by coalesce(score, 1) desc, case when b >= 2 then 3 when b = 1 then 2 else 1 end desc, competitor_count nulls last, query) as place, query, coalesce(score, 1) as score,
-    case when b >= 2 then 3 when b = 1 then 2 else 1 end as buyers, competitor_count from p)"""
+  co as (select row_number() over (order by coalesce(score, 1) desc, case when b >= 2 then 3 when b = 1 then 2 else 1 end desc, competitor_count nulls last, query) as place, query, coalesce(score, 1)::bigint as score,
+    (case when b >= 2 then 3 when b = 1 then 2 else 1 end)::bigint as buyers, competitor_count from p)"""
 ORACLES = {
     "missing_panels": f"""with {_P}, m as (select query, list_filter([case when score is null then 'intensity' end, case when competitor_count is null then 'saturation' end, case when engagement_sum is null then 'engagement' end], lambda x: x is not null) as l from p)
       select query, coalesce(array_to_string(l, ','), '') as missing, len(l) = 0 as renderable from m""",
     "contract_order": f"with {_P} select * from co",
-    "pain_order": f"with {_P} select row_number() over (order by score desc, member_count desc, query) as place, query, score, member_count from p where read <> 'low' and score is not null",
+    "pain_order": f"with {_P} select row_number() over (order by score desc, member_count desc, query) as place, query, score::bigint as score, member_count from p where read <> 'low' and score is not null",
     "top_cards": f"with {_P} select co.query, place, co.score from co join p using (query) where p.score is not null order by place limit {TOP}",
     "shown_cards": f"with {_P} select count(*) as cards, count(*) filter (score >= 4) as high_pain, count(*) filter (b > 0) as buyers_speak, count(*) filter (score is null) as under_researched from p",
     "report_lines": f"""with {_P} select place, place || '. **' || query || '**: score ' || co.score || ', ' || read || ', ' || member_count || ' rows by ' || distinct_authors || ' authors' || coalesce(' (' || note || ')', '') as line from co join p using (query)

@@ -162,7 +162,7 @@ ORACLES = {
       a as (select *, case when id is null then row_id else min(row_id) over (partition by id) end as f from k), b as (select *, case when content is null then row_id else min(row_id) over (partition by content) end as g from a where row_id = f)
       select coalesce(b.g, a.f) as kept_row_id, a.row_id, 'id' as by from a left join b on b.row_id = a.f where a.row_id <> a.f union all select g, row_id, 'content' from b where row_id <> g""",
     "quotes_resolved": f"with {_Q} select coalesce(problem, 'sound') as outcome, marker, count(*) as n, count(distinct author) as authors from v group by 1, 2",
-    "quote_verdicts": f"""with {_Q}, g as (select cluster, count(*) as quotes, count(problem) as rejected, 0 as unknown_markers, count(*) filter (problem is null and author is null) as anonymous, count(*) filter (recurring and marker not in {_COST}) as recurring_ignored from v group by 1)
+    "quote_verdicts": f"""with {_Q}, g as (select cluster, count(*) as quotes, count(problem) as rejected, 0::bigint as unknown_markers, count(*) filter (problem is null and author is null) as anonymous, count(*) filter (recurring and marker not in {_COST}) as recurring_ignored from v group by 1)
       select *, rejected = 0 as accepted from g""",
     "exemplar_quotes": f"""with {_Q}, s as (select cluster, lower(needle) as key, min(row(case when marker in {_COST} then 0 when marker = 'complainer_is_buyer' then 1 else 2 end, quote, url)) as q from v where problem is null group by 1, 2),
       r as (select *, row_number() over (partition by cluster order by q) as place from s) select cluster, place, q[2] as quote, q[3] as url from r where place <= 6""",
