@@ -23,12 +23,6 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--out", help="folder that a parquet table is written to for each query; else the rows are shown")
     args = parser.parse_args(argv)
     known = plans.queries()
-    try:
-        from importlib import import_module
-
-        known |= import_module("lodestone.llm").queries()
-    except ImportError:
-        pass
     if args.tool == "list":
         print("\n".join(sorted(known)))
         return 0
