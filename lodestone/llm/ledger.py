@@ -61,7 +61,9 @@ def content(c: Column, labels: list[str]) -> Column:
     present = sum(F.contains(low, F.lit(x)).cast("int") for x in firsts)
     n = F.size(parts)
     labelled = ((present >= 2) & (n > 2) & (F.element_at(parts, 1) == "")) | ((present >= 3) & (n > 3))
-    return F.when(present >= 2, F.when(labelled, F.array_join(fields, "\u0001")).otherwise(plain)).otherwise(plain)
+    # Only texts that may be labelled are split at all.
+    likely = (present >= 3) | (present >= 2) & low.rlike(rf"^[\s\p{{Z}}\p{{Cf}}\-*•>;|/]*(?:{either})\b")
+    return F.when(likely, F.when(labelled, F.array_join(fields, "\u0001")).otherwise(plain)).otherwise(plain)
 
 
 def content_keys(rows: DataFrame, labels: list[str], extra: tuple = ()) -> DataFrame:
