@@ -224,6 +224,21 @@ def test_near_copies_in_rounds_leave_no_shuffles(spark, tmp_path, monkeypatch):
     assert {(r["a"], r["b"]) for r in links.collect()} == want
 
 
+def test_runs_are_counted_over_all_contents(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(near_copies, "ORDERED", 10, raising=False)
+    seen = []
+    monkeypatch.setattr(near_copies, "stored_points", lambda *args, f=near_copies.stored_points: (seen.append(args[3]), f(*args))[1])
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice([f"w{i}" for i in range(40)]) for _ in range(50)) for _ in range(200)]
+    # Copies of a content count once.
+    folder = write_evidence(spark, tmp_path, [dict(row_id=i, text=t) for i, t in enumerate(texts + texts[:30] + [None, "", "two words"])])
+    near_copies.near_copies(spark, f"{folder}/evidence_sample.parquet")
+    run = np.concatenate([near_copies.runs_of(*near_copies.word_hashes([None], [t]))[1] for t in texts])
+    at, least = np.unique((run % np.uint64(near_copies.BUCKETS)).astype(np.int64), return_counts=True)
+    assert (seen[0][at] >= least).all()
+    assert seen[0].sum() == 200 * 48
+
+
 def test_long_texts_without_a_long_common_run(spark, tmp_path):
     rng = random.Random(14)
     vocabulary = [f"w{i}" for i in range(20_000)]
