@@ -296,6 +296,45 @@ def test_a_tree_of_several_levels_loses_no_pair():
             assert (a, b) in found
 
 
+def test_unlike_points_end_at_half_the_groups(monkeypatch):
+    compared = []
+    monkeypatch.setattr(near_copies.CountForest, "_common", lambda self, x, i, j, f=near_copies.CountForest._common: (compared.append(len(i)), f(self, x, i, j))[1])
+    rng = np.random.default_rng(7)
+    words, counts = near_copies.word_hashes([None] * 200, [" ".join(rng.permutation([f"w{i}" for i in range(5_000)])[:110]) for _ in range(200)])
+    row, run, _, _ = near_copies.runs_of(words, counts)
+    n, bits, spare = near_copies.points(row, run, 200)
+    forest = near_copies.CountForest(np.zeros(200), n, spare, near_copies.reach(n, np.zeros(200), 0.45), np.arange(200), bits.view(np.uint64), 0.45)
+    assert not forest.join().size
+    assert sum(compared) < 1.1 * 200 * 199 / 2
+
+
+def test_levels_of_several_counts_lose_no_pair(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(near_copies, "LEVELS", 3, raising=False)
+    rng = random.Random(12)
+    rows = []
+    for base in range(40):
+        words = [f"w{int(rng.paretovariate(0.5)) % 300}" for _ in range(60)]
+        rows += [(10 * base + k, " ".join(edited(rng, words, 0.07 * k))) for k in range(5)]
+    folder = write_evidence(spark, tmp_path, [dict(row_id=r, text=t) for r, t in rows])
+    links = near_copies.near_copies(spark, f"{folder}/evidence_sample.parquet", page=8)[1]
+    unique = {}
+    for r, t in rows:
+        unique.setdefault(t, (r, t))
+    want = near_by_hand(unique.values())
+    assert len(want) > 50
+    assert {(r["a"], r["b"]) for r in links.collect()} == want
+
+
+def test_contents_are_split_once(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("Role: b; Notes: a",), ("Notes: a; Role: b",), ("a role",), (None,)], "t string")
+    out = df.select(ledger.content(F.col("t"), ["notes", "role"]).alias("c"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    one, two, plain, none = (r["c"] for r in out.collect())
+    assert one == two == "notesa\u0001roleb" and plain == "arole" and none is None
+
+
 # 4 -------------------------------------------------------------------------------------------------
 
 FINDER = personal.Finder(["Hollis", "Joren", "Kwame", "Hope", "Will", "Rose"], ["Price", "Ashgrove", "Marchetti-Rowe", "Köstermann"])
